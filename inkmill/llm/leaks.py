@@ -147,8 +147,8 @@ def shard_leaks(items: Items, letters: np.ndarray, owner: np.ndarray, firsts: np
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     seeds = np.diff(np.append(edge, len(key)))
     keep = seeds + SEED - 1 >= WORTH
-    short = items.sizes[pair[edge] % len(items.ids)] < LEAST
-    keep |= short & (seeds >= 3)
+    sizes = items.sizes[pair[edge] % len(items.ids)]
+    keep |= (sizes < LEAST) & (seeds >= np.minimum(3, sizes - SEED + 1))
     middle = edge + seeds // 2
     best: dict[int, int] = {}
     tried = set()
@@ -196,7 +196,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 sound = folded > 0
                 letters, owner = folded[sound], owner[sound]
                 firsts = np.searchsorted(owner, np.arange(len(part)))
-                found = []
+                found = [(d, i, int(held.sizes[i])) for d in range(len(part) if held.short else 0) for i in held.short if held.letters[i].tobytes() in letters[firsts[d] : (*firsts, len(letters))[d + 1]].tobytes()]
                 for doc, item, n in shard_leaks(held, letters, owner, firsts):
                     need = min(least, int(held.sizes[item]))
                     # A letter changed beside either end of a passage cannot be told from its edge.
@@ -211,5 +211,5 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that contain no evaluation passage."""
+    """The documents that contain no evaluation passage; a row without a key cannot be named and stays."""
     return documents.join(found.select(key).distinct(), key, "left_anti")
