@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkmill.functions import rules, text
 from inkmill.functions.hanfold import to_simplified
 from inkmill.operators import chat, chunking, enrich, metrics, ranking, records, training
+from inkmill.plans import pipelines
 from inkmill.sources import files, sinks
 from inkmill.sources.tables import read_table, ship_package, spread
 from inkmill.streaming import jobs
@@ -725,3 +726,77 @@ def stream_windows(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     name = "windows_" + next(tempfile._get_candidate_names()).replace("-", "_")
     return jobs.read_memory(jobs.windowed_counts(stream, "ts", "event_type"), name)
+
+
+@query()
+def raw_corpus_chunks(spark, d):
+    return pipelines.corpus_chunks(spread(read_table(spark, d, "raw_files"))).select("id", "author", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query()
+def raw_budget_corpus(spark, d):
+    return pipelines.budget_corpus(spread(read_table(spark, d, "raw_files")), "raw").select("id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query()
+def raw_book_chunks(spark, d):
+    return pipelines.book_chunks(spread(read_table(spark, d, "raw_files"))).select("_id", "source", "author", "length")
+
+
+@query(f"""WITH s AS (SELECT id, min({_STYLE}) AS style, min(text) AS text FROM combined_records GROUP BY id),
+    v AS (SELECT * FROM s WHERE style IS NOT NULL AND text IS NOT NULL AND length({_strip('text')}) >= 100 AND NOT regexp_matches(text, '{_q(_BAD)}') AND len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) >= 0.7 * length(text)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY {_hash('42', 'id')}, id) AS n FROM v),
+    k AS (SELECT id, style, text, left(array_to_string(list_transform(list_filter(list_zip(l, range(0, len(l))), lambda z: z[2] % 3 = 0), lambda z: z[1]), '。'), 300) AS plain FROM (SELECT *, regexp_split_to_array(text, '[。！？]') AS l FROM r WHERE n <= {_QUOTA}))
+    SELECT id, style, length(plain) AS plain_length, length(text) AS styled_length FROM k WHERE length(plain) > 0""")
+def stage_two_quota(spark, d):
+    rows = read_table(spark, d, "combined_records")
+    style = rules.first_match(F.concat(F.coalesce("dataset", F.lit("")), F.lit(" "), F.coalesce("source_file", F.lit(""))), STYLES)
+    one = rows.groupBy("id").agg(F.min(style).alias("style"), F.min("text").alias("text")).where("style is not null")
+    chosen = ranking.quota_sample(one.where(rules.is_sound(F.col("text"))), "style", "id", QUOTAS)
+    out = chat.styled_metadata(chosen.withColumn("plain", text.every_third(F.col("text"))).where(F.length("plain") > 0), "id", "plain", "text", F.col("style"))
+    return out.select("id", "metadata.style", F.col("metadata.plain_length").cast("bigint").alias("plain_length"), F.col("metadata.styled_length").cast("bigint").alias("styled_length"))
+
+
+@query(f"""WITH {_PAIRS}, r AS (SELECT id, row_number() OVER (ORDER BY {_hash('42', 'id')}, id) AS n FROM p)
+    SELECT id || CASE WHEN n <= 40 THEN '' WHEN n <= 50 THEN '_adversarial' WHEN n <= 60 THEN '_summary' WHEN n <= 70 THEN '' WHEN n <= 75 THEN '_stress' ELSE '_adversarial' END AS record_id,
+        CASE WHEN n <= 60 THEN 'train' WHEN n <= 70 THEN 'test_standard' WHEN n <= 75 THEN 'test_stress' ELSE 'test_adversarial' END AS split, n > 35 AND n <= 40 AS quiet FROM r WHERE n <= 80""")
+def diversified_sets(spark, d):
+    made = pipelines.diversified(_pair_rows(spark, d), 40, 10, 10, 10, 5, 5)
+    return made.select("record_id", "split", (F.col("conversations")[0]["content"] == "").alias("quiet"))
+
+
+_FA, _FB = f"{_number('42a', 'doc_id')} % (length(text) + 1)", f"{_number('42b', 'doc_id')} % (length(text) + 1)"
+_LO, _HI = f"CAST(least({_FA}, {_FB}) AS INT)", f"CAST(greatest({_FA}, {_FB}) AS INT)"
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN {_number('42f', 'doc_id')} % 10000 < 2000 AND length(text) > 0 THEN '<prefix>' || left(text, {_LO}) || '<suffix>' || substr(text, {_HI} + 1) || '<middle>' || substr(text, {_LO} + 1, {_HI} - {_LO}) ELSE text END) AS md5 FROM documents WHERE text IS NOT NULL""")
+def fill_in_middle(spark, d):
+    return pipelines.fill_in_middle(read_table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", F.md5("text").alias("md5"))
+
+
+@query(f"SELECT DISTINCT record_id FROM training_samples WHERE {_number('42r', 'record_id')} % 10000 < 2000")
+def share_sample(spark, d):
+    return pipelines.share_sample(read_table(spark, d, "training_samples"), "record_id", 0.2).select("record_id").distinct()
+
+
+@query("SELECT record_id FROM training_samples WHERE false")
+def label_markers(spark, d):
+    return pipelines.stray_markers(_masked_rows(spark, d), F.col("labels")).select("record_id")
+
+
+@query("SELECT DISTINCT id FROM combined_records WHERE contains(lower(coalesce(source_file, '') || coalesce(dataset, '')), 'gufan') OR contains(lower(coalesce(source_file, '') || coalesce(dataset, '')), '冷月')")
+def source_mentions(spark, d):
+    return pipelines.mentions(read_table(spark, d, "combined_records"), ["source_file", "dataset"], ["Gufan", "冷月"]).select("id").distinct()
+
+
+@query()
+def repaired_chunks(spark, d):
+    rows = _chunk_rows(spark, d).where("source_file is not null").drop("seq")
+    return pipelines.repaired_chunks(rows).select("id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query()
+def combined_corpus(spark, d):
+    rows = _chunk_rows(spark, d).where("source_file is not null").drop("seq")
+    made = pipelines.combined(spark, {"merged": rows.where("author = 'Yanbeike'"), "single": rows}, {"merged": 2}, {"single": ["Weizhou", "Gufan"]})
+    return made.select("id", "dataset", "merged_count", F.md5("text").alias("md5"))

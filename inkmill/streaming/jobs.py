@@ -45,3 +45,40 @@ def read_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFra
     """What a stream gives for the files that are there, as a table in memory; for tests and small reports."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def shift_quotes_stream(stream: DataFrame, group: str, seq: str, text: str, least: int = 5) -> DataFrame:
+    """(group, seq, text): the record-by-record form of the quote repair, with the last kept record of a group as state.
+
+    A record comes out when the next one that is kept arrives; the newest of each group waits in the state. Records of one
+    group must arrive in order; within a micro-batch they are sorted.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from inkmill.operators.records import REPAIR_QUOTES as quotes
+
+    def step(key, batches, state):
+        held = state.get if state.exists else None
+        out = []
+        rows = pd.concat(list(batches)).sort_values(seq)
+        for at, t in zip(rows[seq], rows[text]):
+            if t is None:
+                continue
+            rest = t
+            if held is not None:
+                lead, moved = t.lstrip(), ""
+                while lead and lead[0] in quotes:
+                    moved, lead = moved + lead[0], lead[1:].lstrip()
+                if moved:
+                    rest, held = lead, (held[0], held[1] + moved)
+            if len(rest.strip()) < least:
+                continue
+            if held is not None:
+                out.append((key[0], held[0], held[1]))
+            held = (int(at), rest)
+        if held is not None:
+            state.update(held)
+        yield pd.DataFrame(out, columns=[group, seq, text])
+
+    return stream.groupBy(group).applyInPandasWithState(step, f"`{group}` string, `{seq}` bigint, `{text}` string", "seq bigint, text string", "append", GroupStateTimeout.NoTimeout)
