@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.hanfold import fold_pairs, to_simplified
-from inkmill.llm.crosssplit import ANSWER, USER, turn
+from inkmill.llm.crosssplit import ANSWER, DISTANCE, USER, edit_distance, turn
 from inkmill.llm.encoding import LANGUAGES
 from inkmill.sources.tables import spread
 
@@ -25,9 +25,11 @@ from inkmill.sources.tables import spread
 COPY_SIZE, COPY_LENGTH = 0.5, (0.8, 1.35)
 #: A sign ends sentences if it ends at least this share of the places where it stands.
 TERMINAL_RATE = 0.004
-#: Signs taken to end a sentence before anything is counted, and the weight of that.
+#: Signs that end a sentence whatever is counted; others must earn it beyond this many places.
 ENDERS = "。！？…”’」』.!?\"'）)】》～~"
-PRIOR = (50, 500)
+PRIOR = 1000
+#: A line of a prompt this short, in letters, is a request's wording and not part of the text handed over.
+WORDING = 24
 #: How a task is declined, and what is declined.
 DECLINE_ZH = re.compile(
     r"(?:无法|不能|不便|不会|不可以|没有?办法|不允许我?|(?:暂)?不支持|恕难|拒绝|不适合|无权)[^。！？\n，；]{0,4}(?:给予|继续|完成|协助|处理|回答|提供|生成|满足|改动|改写|润色|对|为|就|把|将|进行|执行|翻译|续写|帮)"
@@ -86,11 +88,21 @@ def letters_of(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
-def is_copy(prompt: str, response: str) -> bool:
-    """Whether the prompt, as a dictionary, explains the response (both folded to letters)."""
+def passage_of(prompt: str) -> str:
+    """A prompt without a short first or last line: the text handed over."""
+    parts = [x for x in prompt.split("\n") if any(c.isalnum() for c in x)]
+    if len(parts) > 1 and len(letters_of(parts[0])) <= WORDING:
+        parts = parts[1:]
+    if len(parts) > 1 and len(letters_of(parts[-1])) <= WORDING:
+        parts = parts[:-1]
+    return "\n".join(parts)
+
+
+def is_copy(prompt: str, response: str, whole: bool = False) -> bool:
+    """Whether the prompt, as a dictionary, explains the response (both folded to letters); with ``whole``, all of it."""
     import zstandard
 
-    if not prompt or not response or not COPY_LENGTH[0] <= len(response) / len(prompt) <= COPY_LENGTH[1]:
+    if not prompt or not response or not (0.95 if whole else COPY_LENGTH[0]) <= len(response) / len(prompt) <= COPY_LENGTH[1]:
         return False
     if prompt == response:
         return True
@@ -119,14 +131,15 @@ def defect(prompt: str, response: str | None, echo: bool, summary: bool, termina
     tongue = language(text)
     if tongue not in ("zh", ""):
         return "other_language"
-    own = letters_of(text).translate(folds)
     if not echo:
-        given = letters_of(prompt).translate(folds)
-        if is_copy(given, own):
-            return "copy"
-        # A request's wording may stand before or after the text that came back.
-        parts = [letters_of(x).translate(folds) for x in prompt.split("\n") if x.strip()]
-        if len(parts) > 1 and (is_copy("".join(parts[1:]), own) or is_copy("".join(parts[:-1]), own)):
+        own = letters_of(text).translate(folds)
+        whole, bare = (letters_of(x).translate(folds) for x in (prompt, passage_of(prompt)))
+        if summary:
+            # A summary may consist of the text's own sentences: only the whole text, letter by letter, is a copy.
+            most = int(DISTANCE * max(len(bare), len(own)))
+            if is_copy(bare, own, True) and edit_distance(bare, own, most) <= most:
+                return "copy"
+        elif is_copy(bare, own) or is_copy(whole, own):
             return "copy"
     end = visible_end(text)
     if end in terminal:
@@ -176,8 +189,7 @@ def terminal_signs(pairs: DataFrame) -> frozenset:
     out = set()
     for c in {*counts, *ENDERS}:
         places, ends = counts.get(c, (0, 0))
-        before = PRIOR if c in ENDERS else (0, 1000)
-        if (ends + before[0]) / (places + before[1]) >= TERMINAL_RATE:
+        if c in ENDERS or ends / (places + PRIOR) >= TERMINAL_RATE:
             out.add(c)
     return frozenset(out)
 
