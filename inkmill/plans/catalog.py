@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import rules, text
 from inkmill.functions.hanfold import to_simplified
-from inkmill.operators import chat, chunking, enrich, metrics, ranking, records, training
+from inkmill.operators import chat, chunking, enrich, metrics, ranking, records, sequential, training
 from inkmill.plans import pipelines
 from inkmill.sources import files, sinks
 from inkmill.sources.tables import read_table, ship_package, spread
@@ -121,6 +121,10 @@ def _pick(options: list[str], seed: str, key: str) -> str:
     return f"list_extract([{listed}], CAST({_number(seed, key)} % {len(options)} + 1 AS INT))"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk id, with its number in the file as ``seq``."""
     rows = read_table(spark, d, "chunks").groupBy("id").agg(F.min("author").alias("author"), F.min("source_file").alias("source_file"), F.min("text").alias("text"))
@@ -160,20 +164,20 @@ _RESPONSE = _strip(_LAST) + " || '<|im_end|>'"
 @query(f"""SELECT doc_id, format('{{}}_{{}}', doc_id, i) AS chunk_id, length(c) AS n_chars, md5(c) AS chunk_md5
     FROM (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_target('text', 800, chunking.TARGET_ENDS)} AS l FROM documents WHERE text IS NOT NULL))""")
 def chunk_fixed_target(spark, d):
-    rows = chunking.numbered(read_table(spark, d, "documents"), chunking.target_chunks(F.col("text")), ["doc_id"], base=1)
+    rows = chunking.numbered(_documents(spark, d), chunking.target_chunks(F.col("text")), ["doc_id"], base=1)
     return rows.select("doc_id", F.format_string("%d_%d", "doc_id", "chunk_no").alias("chunk_id"), F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query(f"""WITH c AS (SELECT source, length(unnest({_target('text', 800, chunking.TARGET_ENDS)})) AS n FROM documents WHERE text IS NOT NULL)
     SELECT source, count(*) AS n, min(n) AS shortest, max(n) AS longest, CAST(floor(sum(n) / count(*)) AS BIGINT) AS mean, list_sort(list(n))[CAST(count(*) // 2 + 1 AS INT)] AS median FROM c GROUP BY source""")
 def chunk_length_stats(spark, d):
-    rows = read_table(spark, d, "documents").select("source", F.explode(chunking.target_chunks(F.col("text"))).alias("c"))
+    rows = _documents(spark, d).select("source", F.explode(chunking.target_chunks(F.col("text"))).alias("c"))
     return metrics.length_stats(rows.select("source", F.length("c").cast("bigint").alias("n_chars")), "source", "n_chars")
 
 
 @query(f"SELECT doc_id, i - 1 AS seq, length(s) AS n_chars, md5(s) AS md5 FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_sentences('text')} AS l FROM documents WHERE text IS NOT NULL))")
 def sentence_split(spark, d):
-    rows = chunking.numbered(read_table(spark, d, "documents"), chunking.sentences(F.col("text")), ["doc_id"], "s")
+    rows = chunking.numbered(_documents(spark, d), chunking.sentences(F.col("text")), ["doc_id"], "s")
     return rows.select("doc_id", F.col("s_no").cast("bigint").alias("seq"), F.length("s").cast("bigint").alias("n_chars"), F.md5("s").alias("md5"))
 
 
@@ -182,7 +186,7 @@ def sentence_split(spark, d):
         UNION ALL SELECT s.doc_id, s.i, s.x, CASE WHEN r.n + length(s.x) > 800 THEN length(s.x) ELSE r.n + length(s.x) END, CASE WHEN r.n + length(s.x) > 800 THEN r.g + 1 ELSE r.g END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
     SELECT doc_id, CAST(g AS BIGINT) AS chunk_no, md5(string_agg(x, '' ORDER BY i)) AS chunk_md5 FROM r GROUP BY doc_id, g""")
 def greedy_accumulate(spark, d):
-    rows = chunking.numbered(read_table(spark, d, "documents"), chunking.greedy_chunks(chunking.sentences(F.col("text"))), ["doc_id"])
+    rows = sequential.greedy_rows(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return rows.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
 
 
@@ -192,19 +196,20 @@ _LOSSY = f"([^{_q(chunking.LOSSY_ENDS)}]+)([{_q(chunking.LOSSY_ENDS)}]?)"
 @query(f"""WITH s AS (SELECT doc_id, {_strip('unnest(b)')} AS body, unnest(e) AS ending, generate_subscripts(b, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_LOSSY}', 1) AS b, regexp_extract_all(text, '{_LOSSY}', 2) AS e FROM documents WHERE text IS NOT NULL))
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, md5(body || ending) AS md5 FROM s WHERE body <> ''""")
 def sentence_split_lossy(spark, d):
-    rows = chunking.numbered(read_table(spark, d, "documents"), chunking.lossy_sentences(F.col("text")), ["doc_id"], "s")
+    rows = chunking.numbered(_documents(spark, d), chunking.lossy_sentences(F.col("text")), ["doc_id"], "s")
     return rows.select("doc_id", F.col("s_no").cast("bigint").alias("seq"), F.md5("s").alias("md5"))
 
 
 @query()
 def token_chunk(spark, d):
-    rows = chunking.numbered(spread(read_table(spark, d, "documents").select("doc_id", "text")), chunking.budget_chunks(chunking.lossy_sentences(text.normalize_lines(F.col("text")))), ["doc_id"])
+    rows = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_lines(F.col("text")).alias("text"))
+    rows = sequential.budget_rows(rows, "doc_id", "text")
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query("SELECT doc_id, i - 1 AS part_no, length(p) AS n_chars, md5(p) AS md5 FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,512}', 0) AS l FROM documents WHERE text IS NOT NULL))")
 def force_split(spark, d):
-    rows = chunking.numbered(read_table(spark, d, "documents"), chunking.forced_chunks(F.col("text")), ["doc_id"], "part")
+    rows = chunking.numbered(_documents(spark, d), chunking.forced_chunks(F.col("text")), ["doc_id"], "part")
     return rows.select("doc_id", F.col("part_no").cast("bigint").alias("part_no"), F.length("part").cast("bigint").alias("n_chars"), F.md5("part").alias("md5"))
 
 
@@ -235,12 +240,12 @@ _JOINED = f"array_to_string(list_transform(list_filter(list_transform({_split('t
 
 @query(f"SELECT doc_id, md5(regexp_replace({_JOINED}, chr(10) || '$', '')) AS md5 FROM documents WHERE text IS NOT NULL")
 def hard_wrap_merge(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.hard_wrap_merge(F.col("text"))).alias("md5"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.md5(text.hard_wrap_merge(F.col("text"))).alias("md5"))
 
 
 @query(f"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '{text.LINE_ENDS}'), lambda l: {_strip('l')}), lambda l: l <> ''), chr(10))) AS md5 FROM documents WHERE text IS NOT NULL""")
 def normalize_lines(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.normalize_lines(F.col("text"))).alias("md5"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.md5(text.normalize_lines(F.col("text"))).alias("md5"))
 
 
 @query(f"WITH {_CHUNKS} SELECT id, md5(regexp_replace({_drop('text', rules.FURNITURE)}, '[a-zA-Z]', '', 'g')) AS md5 FROM c WHERE text IS NOT NULL")
@@ -256,7 +261,7 @@ _MORE = f"regexp_replace({_drop('text', rules.FURNITURE_MORE)}, '[a-zA-Z]', '',
 def curl_quotes(spark, d):
     t = text.remove_terms(F.col("text"), rules.FURNITURE_MORE)
     t = text.curl_quotes(text.curl_quotes(t, '"', "“", "”"), "'", "‘", "’")
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(t).alias("md5"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.md5(t).alias("md5"))
 
 
 @query(f"""WITH {_CHUNKS}, l AS (SELECT id, unnest({_split('text')}) AS line, unnest(range(1, len({_split('text')}) + 1)) AS line_no FROM c WHERE text IS NOT NULL)
@@ -305,7 +310,7 @@ _BODY = _strip(f"regexp_replace({_chain('replace(text, chr(13), chr(10))', rules
 @query(f"SELECT doc_id, md5({_BODY}) AS body_md5, length(CASE WHEN {_BODY} <> '' THEN '### 语料' || chr(10) || '### 正文' || chr(10) || {_BODY} ELSE '' END) AS sample_chars FROM documents WHERE text IS NOT NULL")
 def meta_strip(spark, d):
     t = F.col("text")
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(rules.drop_meta(t)).alias("body_md5"), F.length(rules.style_sample(t)).cast("bigint").alias("sample_chars"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.md5(rules.drop_meta(t)).alias("body_md5"), F.length(rules.style_sample(t)).cast("bigint").alias("sample_chars"))
 
 
 _BAD = "(?i)" + "|".join(f"(?:{p})" for p in rules.UNSOUND)
@@ -313,7 +318,7 @@ _BAD = "(?i)" + "|".join(f"(?:{p})" for p in rules.UNSOUND)
 
 @query(f"SELECT doc_id, length({_strip('text')}) >= 100 AND NOT regexp_matches(text, '{_q(_BAD)}') AND len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) >= 0.7 * length(text) AS sound FROM documents WHERE text IS NOT NULL")
 def valid_text(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", rules.is_sound(F.col("text")).alias("sound"))
+    return _documents(spark, d).where("text is not null").select("doc_id", rules.is_sound(F.col("text")).alias("sound"))
 
 
 _MARKED = _marks("text", rules.MARKS_AUTHOR, "\\n\\n+")
@@ -333,7 +338,7 @@ def html_unescape(spark, d):
 
 @query()
 def traditional_to_simplified(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(to_simplified(spark, F.col("text"))).alias("md5"), F.md5(records.sanitized(spark, F.col("text"))).alias("sanitized_md5"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.md5(to_simplified(spark, F.col("text"))).alias("md5"), F.md5(records.sanitized(spark, F.col("text"))).alias("sanitized_md5"))
 
 
 @query()

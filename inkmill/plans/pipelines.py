@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.functions import rules, text
-from inkmill.operators import chat, chunking, ranking, records, training
+from inkmill.operators import chat, chunking, ranking, records, sequential, training
 from inkmill.sources import files
 
 
@@ -23,16 +23,16 @@ def decoded_files(raw: DataFrame, codecs=files.CODECS_WIDE) -> DataFrame:
 def corpus_chunks(raw: DataFrame, most: int = 800) -> DataFrame:
     """(id, author, source_file, text): decoded, unwrapped, cut into sentences, gathered up to ``most`` characters."""
     whole = decoded_files(raw).withColumn("text", text.hard_wrap_merge(F.col("text"))).where(F.length(text.strip(F.col("text"))) > 0)
-    rows = chunking.numbered(whole, chunking.greedy_chunks(chunking.sentences(F.col("text")), most), ["file_name", "author"])
-    return rows.select(F.format_string("%s_%d", "file_name", "chunk_no").alias("id"), "author", F.col("file_name").alias("source_file"), F.col("chunk").alias("text"))
+    rows = sequential.greedy_rows(whole, "file_name", "text", most)
+    return rows.select(F.format_string("%s_%d", "file_name", "chunk_no").alias("id"), text.author_of(F.col("file_name")).alias("author"), F.col("file_name").alias("source_file"), F.col("chunk").alias("text"))
 
 
-def budget_corpus(raw: DataFrame, prefix: str, most: int = 512, least: int = 10) -> DataFrame:
-    """(id, source_file, text): cleaned of furniture, quotes curled, lines normalised, cut under a budget of tokens."""
+def budget_corpus(raw: DataFrame, prefix: str, most: int = 512, least: int = 10, encode=None, decode=None) -> DataFrame:
+    """(id, source_file, text): cleaned of furniture, quotes curled, lines normalised, cut under a budget of tokens (characters without ``encode``)."""
     t = text.remove_terms(F.col("text"), rules.FURNITURE_MORE)
     t = text.normalize_lines(text.curl_quotes(text.curl_quotes(t, '"', "“", "”"), "'", "‘", "’"))
     rows = decoded_files(raw).select("file_name", t.alias("text"))
-    rows = chunking.numbered(rows, chunking.budget_chunks(chunking.lossy_sentences(F.col("text")), most), ["file_name"])
+    rows = sequential.budget_rows(rows, "file_name", "text", most, encode, decode)
     rows = rows.select(F.format_string("%s_%s_%05d", F.lit(prefix), text.stem(F.col("file_name")), "chunk_no").alias("id"), F.col("file_name").alias("source_file"), text.strip(F.col("chunk")).alias("text"))
     return rows.where(F.length("text") >= least)
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from inkmill.operators import chunking
+from inkmill.operators import chunking, sequential
 
 RANDOM = random.Random(11)
 ALPHABET = "甲乙丙丁戊己。！？…\n　 ”」\"'；.!?)"
@@ -122,3 +122,23 @@ def test_forced(spark):
 def test_numbered_keeps_nothing_of_nulls(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "甲。乙。")], "k int, t string")
     assert chunking.numbered(rows, chunking.sentences(F.col("t")), ["k"]).count() == 2
+
+
+def test_walks_equal_folds(spark):
+    values = noise()
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, t string")
+
+    def gathered(df):
+        out = {}
+        for r in sorted(df.collect()):
+            out.setdefault(r.i, []).append(r.chunk)
+        return out
+
+    greedy = gathered(sequential.greedy_rows(rows, "i", "t", 12))
+    assert greedy == {i: x for i, x in enumerate(apply(spark, values, lambda c: chunking.greedy_chunks(chunking.sentences(c), 12))) if x}
+    budget = gathered(sequential.budget_rows(rows, "i", "t", 12))
+    assert budget == {i: x for i, x in enumerate(apply(spark, values, lambda c: chunking.budget_chunks(chunking.lossy_sentences(c), 12))) if x}
+    pairs = sequential.under_budget(["甲乙丙丁。", "戊己"], 2, lambda t: [t[i : i + 2] for i in range(0, len(t), 2)], "".join)
+    assert pairs == ["甲乙丙丁", "。", "戊己"]
+    long = "句。" * 200_000
+    assert len(sequential.gather(sequential.split_sentences(long), 800)) == 500
