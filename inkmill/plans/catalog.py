@@ -128,10 +128,10 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk id, with its number in the file as ``seq``."""
     rows = read_table(spark, d, "chunks").groupBy("id").agg(F.min("author").alias("author"), F.min("source_file").alias("source_file"), F.min("text").alias("text"))
-    return rows.withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("bigint"))
+    return rows.withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).try_cast("bigint"))
 
 
-_CHUNKS = "c AS (SELECT id, min(author) AS author, min(source_file) AS source_file, min(text) AS text, CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) AS seq FROM chunks GROUP BY id)"
+_CHUNKS = "c AS (SELECT id, min(author) AS author, min(source_file) AS source_file, min(text) AS text, TRY_CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) AS seq FROM chunks GROUP BY id)"
 
 
 def _pair_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def scanned_book_chunks(raw: DataFrame, prefix: str, target: int = 800) -> DataF
 
 def repaired_chunks(chunks: DataFrame, least: int = 5) -> DataFrame:
     """Chunks without furniture, closing quotes given back to the chunk before; ``id`` ends in the chunk's number."""
-    rows = chunks.withColumn("text", text.remove_terms(F.col("text"), rules.FURNITURE)).withColumn("_seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("bigint"))
+    rows = chunks.withColumn("text", text.remove_terms(F.col("text"), rules.FURNITURE)).withColumn("_seq", F.regexp_extract("id", "_([0-9]+)$", 1).try_cast("bigint"))
     return records.shift_quotes(rows, "source_file", "_seq", "text", least).drop("_seq")
 
 
@@ -67,7 +67,7 @@ def combined(spark: SparkSession, sources: dict[str, DataFrame], merged: dict[st
     for name, df in sources.items():
         rows = df.where(F.col("author").isin(*authors[name])) if authors and name in authors else df
         if name in merged:
-            rows = rows.withColumn("_seq", F.regexp_extract("id", "_([0-9]+)$", 1).cast("bigint")).withColumn("_book", F.col("source_file"))
+            rows = rows.withColumn("_seq", F.regexp_extract("id", "_([0-9]+)$", 1).try_cast("bigint")).withColumn("_book", F.col("source_file"))
             made = records.merge_every(rows, merged[name], "_book", "_seq", F.concat(F.lit(f"{name}_"), "_book"))
             rows = made.drop("_book", "part")
         parts[name] = rows
