@@ -6,7 +6,7 @@ budgets, generators, streams); those are tested on fixtures.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -729,8 +729,7 @@ def stream_windows(spark, d):
     # The memory table is for tests and small reports; a job writes to a sink of its own.
     folder = d if d.endswith("/") else d + "/"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    name = "windows_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    return jobs.read_memory(jobs.windowed_counts(stream, "ts", "event_type"), name)
+    return jobs.read_memory(jobs.windowed_counts(stream, "ts", "event_type"), f"windows_{uuid.uuid4().hex}")
 
 
 @query()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkmill.plans.lineage import shared_folder
+
 
 def stream_json(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """JSON lines as they arrive, ``files_per_batch`` files at a time."""
@@ -43,7 +46,8 @@ def windowed_counts(stream: DataFrame, time: str, group: str, window: str = "1 h
 
 def read_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """What a stream gives for the files that are there, as a table in memory; for tests and small reports."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    mark = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
 
 
