@@ -21,7 +21,7 @@ from inkmill.sources.tables import spread
 
 LEVELS = (1, 2, 3, 4)
 #: Bound of the labelled documents that the model is fitted on, in the order of a hash; every document is then scored.
-FIT_DOCUMENTS = 4000
+FIT_DOCUMENTS = 2000
 #: A word is known if it stands in this many of the labelled documents.
 LEAST_DOCUMENTS = 3
 QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
