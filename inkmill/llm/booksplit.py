@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.hanfold import fold_key, half_width
+from inkmill.llm.sitelines import small_side
 from inkmill.plans.lineage import cut
 
 #: Label and share; shares are ranges of a hash.
@@ -23,45 +24,46 @@ COPY_NOTES = "全本|足本|完本|校对|校訂|校订|精校|修订|修訂|整
 NUMERALS = "0-9一二三四五六七八九十百两兩〇零"
 
 
-def book_key(name: Column, fold) -> Column:
-    """Title and author of a file name, in any order, script, width and packing; null for null and blank names.
-
-    Read are ``title_author``, ``author_title``, ``title·author``, ``title__author-site``, ``title 作者：author``,
-    ``《title》author_site``, ``[author]title`` and ``folder/author/title``, each with or without a suffix, a copy number, a
-    volume or a note on the copy. ``fold`` maps a column to its letters and digits in one script.
-    """
+def bare_name(name: Column) -> Column:
+    """A file name without suffix, volume, copy number and notes on the copy."""
     t = F.trim(half_width(name))
     t = F.regexp_replace(t, r"(?i)\.(txt|text|epub|md|html?|jsonl?)$", "")
-    # Notes on copies and volumes, bracketed or behind the title.
     t = F.regexp_replace(t, r"[(（【\[]\s*(?:[上中下]|[上中下]?[卷册冊部集]|第?[%s]+[卷册冊部集]?|[^()（）【】\[\]]*(?:%s)[^()（）【】\[\]]*)\s*[)）】\]]" % (NUMERALS, COPY_NOTES), "")
     t = F.regexp_replace(t, r"第\s*[%s]+\s*[卷册冊部集](?=$|[\s_·\-—])" % NUMERALS, "")
     t = F.regexp_replace(t, r"(?:^|(?<=[\s_·\-—》]))(?:卷|vol\.?|v)\s*[%s]+(?=$|[\s_·\-—])" % NUMERALS, "")
     t = F.regexp_replace(t, r"(?<=[\p{L}》])[_\-\s]+[0-9]{1,3}$", "")
-    t = F.regexp_replace(t, r"\s*[(（]?[0-9]{1,3}[)）]$", "")
-
-    def parts(pattern: str) -> Column:
-        return F.when(t.rlike(pattern), F.array(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)))
-
-    found = F.coalesce(
-        parts(r"^.*?《([^》]+)》\s*(?:作者\s*[::]?)?\s*([^_\-—]+)"),
-        parts(r"^\s*[\[【]([^\]】]+)[\]】]\s*([^_]+)"),
-        parts(r"^(.*?)[\s_]*作者\s*[::]\s*([^_\-]+)"),
-        parts(r"(?:^|[/\\])([^/\\]+)[/\\]([^/\\]+)$"),
-        parts(r"^(.+?)__(.+?)-[^\-]+$"),
-        parts(r"^(.+?)[_]+([^_]+)$"),
-        parts(r"^(.+?)\s*[·•・]\s*(.+)$"),
-        parts(r"^(.+?)\s+-+\s+(.+)$"),
-        F.array(t, F.lit("")),
-    )
-    pair = F.array_sort(F.array(fold(found[0]), fold(found[1])))
-    return F.when(F.length(t) > 0, F.concat_ws("|", pair))
+    return F.regexp_replace(t, r"\s*[(（]?[0-9]{1,3}[)）]$", "")
+
+
+#: How title and author stand in a name, in the order in which the forms are tried.
+FORMS = [
+    r"^.*?《([^》]+)》\s*(?:作者\s*[::]?)?\s*([^_\-—]+)",
+    r"^\s*[\[【]([^\]】]+)[\]】]\s*([^_]+)",
+    r"^(.*?)[\s_]*作者\s*[::]\s*([^_\-]+)",
+    r"(?:^|[/\\])([^/\\]+)[/\\]([^/\\]+)$",
+    r"^(.+?)__(.+?)-[^\-]+$",
+    r"^(.+?)[_]+([^_]+)$",
+    r"^(.+?)\s*[·•・]\s*(.+)$",
+    r"^(.+?)\s+-+\s+(.+)$",
+]
 
 
 def book_keys(df: DataFrame, source: str = "source_file") -> DataFrame:
-    """(source, book) of the distinct non-blank source names."""
+    """(source, book) of the distinct names: title and author in any order, script, width and packing.
+
+    Read are ``title_author``, ``author_title``, ``title·author``, ``title__author-site``, ``title 作者：author``,
+    ``《title》author_site``, ``[author]title`` and ``folder/author/title``, each with or without a suffix, a copy number, a
+    volume or a note on the copy. Null and blank names are left out. Written once: names are few beside records.
+    """
     spark = df.sparkSession
+    names = df.select(source).where(F.col(source).isNotNull()).distinct().withColumn("_t", bare_name(F.col(source)))
+    pair = F.array(F.col("_t"), F.lit(""))
+    for form in reversed(FORMS):
+        pair = F.when(F.col("_t").rlike(form), F.array(F.regexp_extract("_t", form, 1), F.regexp_extract("_t", form, 2))).otherwise(pair)
+    names = names.withColumn("_pair", pair)
     fold = lambda c: fold_key(spark, F.regexp_replace(c, r"[0-9]+", ""))
-    return df.select(source).where(F.col(source).isNotNull()).distinct().select(source, book_key(F.col(source), fold).alias("book")).where(F.length("book") > 1)
+    book = F.concat_ws("|", F.array_sort(F.array(fold(F.col("_pair")[0]), fold(F.col("_pair")[1]))))
+    return cut(names.select(source, book.alias("book")).where(F.length("book") > 1))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
@@ -141,10 +143,8 @@ def grouped_split(df: DataFrame, key: str = "record_id", source: str = "source_f
     A record delivered under several names ties these together. Records without a name, or with a blank one, are
     components of their own; null keys are left out.
     """
-    spark = df.sparkSession
-    fold = lambda c: fold_key(spark, F.regexp_replace(c, r"[0-9]+", ""))
     rows = df.select(key, source).where(F.col(key).isNotNull()).distinct()
-    named = rows.withColumn("book", book_key(F.col(source), fold))
+    named = rows.join(small_side(book_keys(rows, source)), source, "left")
     graph = named.select(F.concat(F.lit("r:"), F.col(key)).alias("a"), F.coalesce(F.concat(F.lit("b:"), F.col("book")), F.concat(F.lit("r:"), F.col(key))).alias("b"))
     # Books tied by a record are few; records hang on their least book, so the loop runs over books alone.
     first = graph.groupBy("a").agg(F.min("b").alias("least"), F.count_distinct("b").alias("n"))
