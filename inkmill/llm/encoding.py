@@ -9,16 +9,19 @@ and what became of them) are reported as affected and kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.functions.hanfold import code_points
+from inkmill.functions.hanfold import code_points, simplify_map
+from inkmill.plans.lineage import cut
 from inkmill.sources.tables import spread
 
 #: (codec it was decoded with, codec it was written in).
@@ -29,10 +32,9 @@ STEPS = [
 ]
 #: Bytes of description that a step costs, and the share of a line's length it must save besides.
 STEP_COST, SAVING = 4, 0.06
-#: Bound of the sample that the dictionary of Chinese and the set of usual characters come from; everything is judged by it, nothing is left out.
-SAMPLE_ROWS = 1500
-DICTIONARY_BYTES = 96_000
-#: A character is usual if it stands in this share of the sample's texts.
+#: Size of the dictionary of Chinese, and the most that one line gives to it.
+DICTIONARY_BYTES, LINE_LETTERS = 96_000, 2000
+#: A character is usual if it stands in sound lines of this share of the texts that have any.
 USUAL = 0.01
 #: Plain sentences by which other languages are recognised.
 LANGUAGES = {
@@ -153,22 +155,94 @@ def usual_table(counts: dict[str, int], texts: int) -> np.ndarray:
     return table
 
 
-def fit(texts: list[str]) -> tuple[np.ndarray, bytes]:
-    """(usual characters, raw dictionary) of a sample."""
+@lru_cache(maxsize=2)
+def known_table(script: str = "") -> np.ndarray:
+    """What sound lines are told by, whatever the corpus holds: GB 2312, its signs in use, and ``script`` (Traditional forms)."""
+    table = usual_table({}, 0) | gb2312_table(0xB0, 0xF8)
+    table[[ord(c) for c in script]] = True
+    table[[ord(c) for c in "锟拷"]] = False
+    return table
+
+
+def survey(texts: list[str], known: np.ndarray, rare: np.ndarray) -> tuple[list[np.ndarray | None], list[str]]:
+    """(per text the ``rare`` characters of its sound lines, None if it has no such line; the sound lines of more than 20 letters).
+
+    A line is sound if it consists of ``known`` characters: what a wrong decoding leaves is never of these alone, so
+    garbled text adds nothing, however much of it there is.
+    """
+    if not texts:
+        return [], []
+    whole = "\n".join(texts) + "\n"
+    points = code_points(whole)
+    ends = np.flatnonzero(points == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    bad = np.concatenate([[0], np.cumsum(~known[points])])
+    clean = (bad[ends] == bad[starts]) & (ends > starts)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    owner = np.searchsorted(first, starts, "right") - 1
+    has = np.zeros(len(texts), dtype=bool)
+    has[owner[clean]] = True
+    at = np.flatnonzero(rare[points])
+    line = np.searchsorted(ends, at)
+    at, line = at[clean[line]], line[clean[line]]
+    pairs = np.unique(owner[line].astype(np.int64) << 21 | points[at].astype(np.int64))
+    edges = np.searchsorted(pairs >> 21, np.arange(len(texts) + 1))
+    signs = [(pairs[a:b] & 0x1FFFFF).astype(np.int32) if h else None for a, b, h in zip(edges[:-1], edges[1:], has)]
+    return signs, [whole[a : min(b, a + LINE_LETTERS)] for a, b in zip(starts[clean], ends[clean]) if b - a > 20]
+
+
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def first_lines(lines: dict[int, str]) -> dict[int, str]:
+    """The lines of the least hashes, as many as fill the dictionary."""
+    out, size = {}, 0
+    for h in sorted(lines):
+        if size >= DICTIONARY_BYTES:
+            break
+        out[h] = lines[h]
+        size += len(lines[h].encode())
+    return out
+
+
+def fit(texts: list[str], script: str = "") -> tuple[np.ndarray, bytes]:
+    """(usual characters, raw dictionary) of distinct texts."""
+    known = known_table(script)
+    signs, lines = survey(texts, known, known & ~usual_table({}, 0))
     counts: dict[str, int] = {}
-    for t in texts:
-        for c in set(t):
-            counts[c] = counts.get(c, 0) + 1
-    usual = usual_table(counts, len(texts))
-    parts, size = [], 0
-    for t in texts:
-        for line in t.split("\n"):
-            x = code_points(line)
-            if len(x) > 20 and usual[x].all() and size < DICTIONARY_BYTES:
-                data = line.encode()
-                parts.append(data)
-                size += len(data)
-    return usual, b"\n".join(parts)
+    for own in signs:
+        for c in own if own is not None else ():
+            counts[chr(c)] = counts.get(chr(c), 0) + 1
+    return usual_table(counts, sum(x is not None for x in signs)), "\n".join(first_lines({line_hash(x): x for x in lines}).values()).encode()
+
+
+def fit_table(df: DataFrame, text: str) -> tuple[np.ndarray, bytes]:
+    """``fit`` over all texts of a table, each counted once; what is shuffled are hashes and rare characters, no texts."""
+    script = "".join(sorted(simplify_map(df.sparkSession)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_table(script)
+        rare = known & ~usual_table({}, 0)
+        kept: dict[int, str] = {}
+        for batch in batches:
+            signs, lines = survey(batch.column(1).to_pylist(), known, rare)
+            at = [i for i, x in enumerate(signs) if x is not None]
+            if at:
+                kept = first_lines(kept | {line_hash(x): x for x in lines})
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([signs[i] for i in at], pa.list_(pa.int32())), pa.nulls(len(at), pa.string())], names=["h", "signs", "line"])
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.nulls(len(kept), pa.list_(pa.int32())), pa.array(list(kept.values()), pa.string())], names=["h", "signs", "line"])
+
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t")))
+    found = cut(rows.mapInArrow(run, "h bigint, signs array<int>, line string"))
+    once = found.where("line is null").groupBy("h").agg(F.first("signs").alias("signs"))
+    # Without a sign a text still counts: code point 0 stands for it.
+    counted = once.select(F.explode(F.concat(F.array(F.lit(0)), "signs")).alias("c")).groupBy("c").count().collect()
+    counts = {r[0]: r[1] for r in counted}
+    lines = found.where("line is not null").groupBy("h").agg(F.min("line").alias("line")).orderBy("h").limit(DICTIONARY_BYTES // 21 + 1).collect()
+    usual = usual_table({chr(c): n for c, n in counts.items() if c}, counts.get(0, 0))
+    return usual, "\n".join(first_lines({r[0]: r[1] for r in lines}).values()).encode()
 
 
 def readable(model: Model, line: str, out: str) -> bool:
@@ -300,22 +374,14 @@ def repair_line(model: Model, line: str) -> tuple[str, str] | None:
     return None
 
 
-def restore(df: DataFrame, key: str = "id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def restore(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, text, chain) of the affected rows: the text restored as far as it can be, and the chains of its lines.
 
-    Null and empty texts are sound. The model comes from a sample of about ``sample_rows`` texts below a threshold of a hash
-    (a parameter, not a limit on what is examined); rows are independent, so the table is not shuffled. Rows delivered
-    twice come out twice.
+    Null and empty texts are sound. The model comes from the sound lines of all texts, each text counted once; rows are
+    independent, so the table is not shuffled. Rows delivered twice come out twice.
     """
     spark = df.sparkSession
-    total = df.where(F.col(text).isNotNull()).count()
-    point = F.pmod(F.xxhash64(text), F.lit(1 << 40))
-    few = df.where(point < int((1 << 40) * min(1.0, sample_rows / max(1, total)))).where(F.length(text) > 20)
-    # About ``sample_rows`` of the rows by the threshold, at most twice as many by the limit.
-    # A text counts once, however often it is copied.
-    rows = few.select(F.substring(text, 1, 2000).alias("t")).distinct().limit(2 * sample_rows).collect()
-    rows.sort()
-    shared = spark.sparkContext.broadcast(fit([r[0] for r in rows]))
+    shared = spark.sparkContext.broadcast(fit_table(df, text))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

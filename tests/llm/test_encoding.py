@@ -44,3 +44,15 @@ def test_operator(spark):
     got = encoding.restore(df).collect()
     assert sorted(str(r.id) for r in got) == ["None", "b", "b"] and all(r.text.endswith(LINE) for r in got)
     assert encoding.restore(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("wrong,right", [("latin-1", "utf-8"), ("latin-1", "gb18030"), ("gb18030", "utf-8")])
+def test_much_garbling_of_one_kind_is_not_usual(spark, wrong, right):
+    marks = "甲乙丙丁戊己庚辛壬癸"
+    texts = [f"{marks[i % 10]}{marks[i // 10]}{SOUND[i % 4]}{SOUND[i * 3 % 4]}" for i in range(100)]
+    # Pairs of letters of which no byte is lost.
+    whole = [marks[i // 10] + marks[i % 10] + "缓步上前望见桥头灯火长叹拱手而别" for i in range(50)]
+    bad = [x.encode(right).decode(wrong) for x in whole]
+    df = spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(texts)] + [(f"b{i}", x) for i, x in enumerate(bad)], "id string, text string")
+    got = {r.id: r.text for r in encoding.restore(df).collect()}
+    assert got == {f"b{i}": x for i, x in enumerate(whole)}
