@@ -23,11 +23,13 @@ from inkmill.sources.tables import spread
 
 #: A response is a copy if its prompt explains all but this share of its size, at about the prompt's length.
 COPY_SIZE, COPY_LENGTH = 0.5, (0.8, 1.35)
-#: A sign ends sentences if it ends at least this share of the places where it stands.
-TERMINAL_RATE = 0.004
-#: Signs that end a sentence whatever is counted; others must earn it beyond this many places.
+#: A sign ends sentences if it ends at least this share of the places where it stands, as a full stop does.
+TERMINAL_RATE = 0.1
+#: Signs that end a sentence whatever is counted, and signs that never do.
 ENDERS = "。！？…”’」』.!?\"'）)】》～~"
-PRIOR = 1000
+NEVER = set("，,、；;：:—–-─·・“‘「『（(【《〈〔[{<")
+#: Places without an end that every sign is given besides its own, as a share of all places of signs.
+PRIOR = 0.0001
 #: A line of a prompt this short, in letters, is a request's wording and not part of the text handed over.
 WORDING = 24
 #: How a task is declined, and what is declined.
@@ -163,7 +165,7 @@ def pairs_of_samples(df: DataFrame) -> DataFrame:
 
 
 def terminal_signs(pairs: DataFrame) -> frozenset:
-    """The signs that end responses, from counts over all of them; letters and digits never do."""
+    """The signs that end responses, from counts over all distinct ones; letters and digits never do, nor do signs of ``NEVER``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -184,14 +186,10 @@ def terminal_signs(pairs: DataFrame) -> frozenset:
         at = np.array([c for c in np.flatnonzero(mid) if not chr(c).isalnum() and not chr(c).isspace()], dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(mid[at]), pa.array(end[at])], names=["sign", "places", "ends"])
 
-    counted = pairs.select("response").mapInArrow(run, "sign int, places bigint, ends bigint").groupBy("sign").agg(F.sum("places"), F.sum("ends")).collect()
+    counted = pairs.select("response").distinct().mapInArrow(run, "sign int, places bigint, ends bigint").groupBy("sign").agg(F.sum("places"), F.sum("ends")).collect()
     counts = {chr(s): (p, e) for s, p, e in counted}
-    out = set()
-    for c in {*counts, *ENDERS}:
-        places, ends = counts.get(c, (0, 0))
-        if c in ENDERS or ends / (places + PRIOR) >= TERMINAL_RATE:
-            out.add(c)
-    return frozenset(out)
+    prior = PRIOR * sum(p for p, _ in counts.values())
+    return frozenset({*ENDERS, *(c for c, (p, e) in counts.items() if c not in NEVER and e and e / (p + prior) >= TERMINAL_RATE)})
 
 
 def defects(style_pairs: DataFrame, samples: DataFrame) -> DataFrame:

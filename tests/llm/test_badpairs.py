@@ -32,3 +32,10 @@ def test_language():
     assert badpairs.language("他走了。") == "zh" and badpairs.language("") == "" and badpairs.language("그는 갔다.") == "ko"
     assert badpairs.language("Le vieil homme lut la lettre près du feu.") == "fr"
     assert badpairs.language("他把那家店唤作 café Étoilé，坐下便走。") == "zh"
+
+
+def test_copies_broken_off_at_a_comma_make_it_no_end(spark):
+    rows = [(f"s{i}", P[:9] + "，") for i in range(600)] + [(f"t{i}", A + "走" * i) for i in range(3)]
+    pairs = spark.createDataFrame(rows, "record_key string, response string")
+    assert badpairs.terminal_signs(pairs) == frozenset(badpairs.ENDERS)
+    assert badpairs.terminal_signs(pairs.union(spark.createDataFrame([(f"e{i}", P[:5] + "走" * i + "※") for i in range(9)], pairs.schema))) == frozenset(badpairs.ENDERS + "※")
