@@ -1,12 +1,10 @@
-"""Chunkers that must walk through a text, an Arrow batch at a time: for very long texts and for real tokenizers.
-
-They equal the folds in ``chunking``; a fold is interpreted element by element, this walks over arrays of lengths.
-"""
+"""Chunkers whose next cut depends on the last one, an Arrow batch at a time: over arrays of sentence lengths, with any tokenizer."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,37 +49,46 @@ def lossy(text: str) -> list[str]:
     return out
 
 
+def budget_edges(sizes: np.ndarray, closed: np.ndarray, most: int) -> list[int]:
+    """Where chunks of sentences that each fit end: as many as fit, and one more where the last of them is not closed."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    # From every sentence at once: the first that no longer fits, and the end of the chunk that begins there.
+    fits = np.minimum(np.searchsorted(upto, upto[:-1] + most, "right") - 1, len(sizes))
+    ends = np.minimum(fits + ~closed[fits - 1], len(sizes))
+    edges, at = [], 0
+    while at < len(sizes):
+        at = int(ends[at])
+        edges.append(at)
+    return edges
+
+
+def quotes_back(pieces: list[str]) -> list[str]:
+    """Stripped pieces; closing quotes at the head of one stand at the end of the one before, blank ones vanish."""
+    pieces = [p for p in map(str.strip, pieces) if p]
+    mark = next(c for c in map(chr, range(1, 0x110000)) if not c.isspace() and not any(c in p for p in pieces))
+    inner = re.escape(mark + chunking.QUOTES)
+    head = re.compile(rf"{re.escape(mark)}(?:[{inner}]\s*)*")
+    joined = head.sub(lambda m: "".join(c for c in m.group() if c != mark and not c.isspace()) + mark, mark.join(pieces))
+    return [p for p in joined.split(mark) if p]
+
+
 def under_budget(parts: list[str], most: int, encode: Encode | None = None, decode: Decode | None = None) -> list[str]:
-    """Sentences gathered under a budget of tokens (characters without ``encode``), chunks ended at closing punctuation."""
-    pieces: list[str] = []
-    current, used = "", 0
-    for part in parts:
-        ids = encode(part) if encode else part
-        if len(ids) > most:
-            if current:
-                pieces.append(current)
-            current, used = "", 0
-            slices = [ids[i : i + most] for i in range(0, len(ids), most)]
+    """Sentences gathered under a budget of tokens (characters without ``encode``), chunks ended at closing punctuation.
+
+    Sentences over the budget are sliced and part the others into runs; within a run the ends of chunks come from sums.
+    """
+    ids = [encode(p) for p in parts] if encode else parts
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    closed = np.array([p[-1:] in chunking.CLOSING for p in parts], dtype=bool)
+    pieces, start = [], 0
+    for wall in [*np.flatnonzero(sizes > most).tolist(), len(parts)]:
+        run = [start, *(start + e for e in budget_edges(sizes[start:wall], closed[start:wall], most))]
+        pieces += ["".join(parts[a:b]) for a, b in zip(run, run[1:])]
+        if wall < len(parts):
+            slices = [ids[wall][i : i + most] for i in range(0, len(ids[wall]), most)]
             pieces += [decode(x) for x in slices] if encode else slices
-        elif not current or used + len(ids) <= most:
-            current, used = current + part, used + len(ids)
-        elif current[-1] in chunking.CLOSING:
-            pieces.append(current)
-            current, used = part, len(ids)
-        else:
-            pieces.append(current + part)
-            current, used = "", 0
-    if current:
-        pieces.append(current)
-    out: list[str] = []
-    for piece in pieces:
-        piece = piece.strip()
-        while out and piece and piece[0] in chunking.QUOTES:
-            out[-1] += piece[0]
-            piece = piece[1:].lstrip()
-        if piece:
-            out.append(piece)
-    return out
+        start = wall + 1
+    return quotes_back(pieces)
 
 
 def chunk_rows(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
@@ -107,3 +114,17 @@ def greedy_rows(df: DataFrame, key: str, text: str, most: int = 800) -> DataFram
 
 def budget_rows(df: DataFrame, key: str, text: str, most: int = 512, encode: Encode | None = None, decode: Decode | None = None) -> DataFrame:
     return chunk_rows(df, key, text, lambda t: under_budget(lossy(t), most, encode, decode))
+
+
+def library_tokenizer(path: str) -> tuple[Encode, Decode]:
+    """(encode, decode) of a tokenizer file in the JSON format of the ``tokenizers`` library, loaded once per worker."""
+    return (lambda t: _loaded(path).encode(t, add_special_tokens=False).ids), (lambda ids: _loaded(path).decode(ids, skip_special_tokens=False))
+
+
+@lru_cache(maxsize=2)
+def _loaded(path: str):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.encode_special_tokens = True
+    return tool

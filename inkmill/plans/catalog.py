@@ -200,13 +200,42 @@ def sentence_split_lossy(spark, d):
     return rows.select("doc_id", F.col("s_no").cast("bigint").alias("seq"), F.md5("s").alias("md5"))
 
 
-@query()
+_NORMAL = f"array_to_string(list_filter(list_transform(regexp_split_to_array(text, '{text.LINE_ENDS}'), lambda l: {_strip('l')}), lambda l: l <> ''), chr(10))"
+_LEAD = f"'^(?:[{_q(chunking.QUOTES)}]{text.WS}*)+'"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, {_NORMAL} AS text FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, {_strip('unnest(b)')} AS body, unnest(e) AS ending, generate_subscripts(b, 1) AS j FROM (SELECT doc_id, regexp_extract_all(text, '{_LOSSY}', 1) AS b, regexp_extract_all(text, '{_LOSSY}', 2) AS e FROM t)),
+    s AS MATERIALIZED (SELECT doc_id, body || ending AS x, length(body || ending) AS n, right(body || ending, 1) IN ({", ".join("'" + _q(c) + "'" for c in chunking.CLOSING)}) AS closed, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE body <> ''),
+    r AS (SELECT doc_id, i, CAST(1 AS BIGINT) AS g, CASE WHEN n > 512 THEN 0 ELSE n END AS held, closed, n > 512 AS done FROM s WHERE i = 1
+        UNION ALL SELECT s.doc_id, s.i, r.g + CASE WHEN r.done OR s.n > 512 OR (r.held + s.n > 512 AND r.closed) THEN 1 ELSE 0 END,
+            CASE WHEN s.n > 512 OR (NOT r.done AND r.held + s.n > 512 AND NOT r.closed) THEN 0 WHEN r.done OR r.held + s.n > 512 THEN s.n ELSE r.held + s.n END, s.closed, s.n > 512 OR (NOT r.done AND r.held + s.n > 512 AND NOT r.closed)
+        FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+    w AS (SELECT r.doc_id, r.g, string_agg(s.x, '' ORDER BY r.i) AS x, max(s.n) > 512 AS sliced FROM r JOIN s USING (doc_id, i) GROUP BY 1, 2),
+    p AS (SELECT doc_id, g, unnest(k) AS x, generate_subscripts(k, 1) AS h FROM (SELECT doc_id, g, CASE WHEN sliced THEN regexp_extract_all(x, '(?s).{{1,512}}', 0) ELSE [x] END AS k FROM w)),
+    q AS (SELECT doc_id, {_strip('x')} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY g, h) AS o FROM p WHERE {_strip('x')} <> ''),
+    v AS (SELECT doc_id, o, CASE WHEN o > 1 THEN regexp_extract(x, {_LEAD}) ELSE '' END AS lead, x FROM q),
+    y AS (SELECT doc_id, o, regexp_replace(lead, '{text.WS}', '', 'g') AS lead, substr(x, length(lead) + 1) AS rest FROM v),
+    z AS (SELECT *, sum(CASE WHEN rest <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o) AS own FROM y),
+    u AS (SELECT doc_id, own AS c, o, 1 AS later, rest AS x FROM z WHERE rest <> '' UNION ALL SELECT doc_id, own - CASE WHEN rest <> '' THEN 1 ELSE 0 END, o, 2, lead FROM z WHERE lead <> '')
+    SELECT doc_id, CAST(c - 1 AS INT) AS chunk_no, CAST(length(string_agg(x, '' ORDER BY o, later)) AS INT) AS n_chars, md5(string_agg(x, '' ORDER BY o, later)) AS chunk_md5 FROM u GROUP BY doc_id, c""")
 def token_chunk(spark, d):
     rows = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_lines(F.col("text")).alias("text"))
     rows = sequential.budget_rows(rows, "doc_id", "text")
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
+#: A public tokenizer for the queries; a path, like any other.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query()
+def token_chunk_bpe(spark, d):
+    rows = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_lines(F.col("text")).alias("text"))
+    rows = sequential.budget_rows(rows, "doc_id", "text", 512, *sequential.library_tokenizer(TOKENIZER))
+    return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
 @query("SELECT doc_id, i - 1 AS part_no, length(p) AS n_chars, md5(p) AS md5 FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,512}', 0) AS l FROM documents WHERE text IS NOT NULL))")
 def force_split(spark, d):
     rows = chunking.numbered(_documents(spark, d), chunking.forced_chunks(F.col("text")), ["doc_id"], "part")

@@ -78,11 +78,6 @@ def test_sentences_are_lossless(spark):
     assert ["".join(x) for x in got] == values
 
 
-def test_greedy(spark):
-    values = [split_model(v) for v in noise()]
-    assert apply(spark, values, lambda c: chunking.greedy_chunks(c, 12), "array<string>") == [greedy_model(v, 12) for v in values]
-
-
 def test_target(spark):
     def model(t, target):
         out, cur, i = [], "", 0
@@ -110,9 +105,11 @@ def test_lossy(spark):
     assert apply(spark, values, chunking.lossy_sentences) == [model(v) for v in values]
 
 
-def test_budget(spark):
-    values = [[x for x in split_model(v) if x.strip()] for v in noise()] + [[]]
-    assert apply(spark, values, lambda c: chunking.budget_chunks(c, 12), "array<string>") == [budget_model(v, 12) for v in values]
+def test_budget():
+    for v in noise(3000):
+        for parts in ([x for x in split_model(v) if x.strip()], sequential.lossy(v)):
+            assert sequential.under_budget(parts, 12) == budget_model(parts, 12), parts
+    assert sequential.under_budget([], 12) == []
 
 
 def test_forced(spark):
@@ -124,7 +121,7 @@ def test_numbered_keeps_nothing_of_nulls(spark):
     assert chunking.numbered(rows, chunking.sentences(F.col("t")), ["k"]).count() == 2
 
 
-def test_walks_equal_folds(spark):
+def test_walks_equal_models(spark):
     values = noise()
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, t string")
 
@@ -135,9 +132,9 @@ def test_walks_equal_folds(spark):
         return out
 
     greedy = gathered(sequential.greedy_rows(rows, "i", "t", 12))
-    assert greedy == {i: x for i, x in enumerate(apply(spark, values, lambda c: chunking.greedy_chunks(chunking.sentences(c), 12))) if x}
+    assert greedy == {i: x for i, x in enumerate(greedy_model(split_model(v), 12) for v in values) if x}
     budget = gathered(sequential.budget_rows(rows, "i", "t", 12))
-    assert budget == {i: x for i, x in enumerate(apply(spark, values, lambda c: chunking.budget_chunks(chunking.lossy_sentences(c), 12))) if x}
+    assert budget == {i: x for i, x in enumerate(budget_model(sequential.lossy(v), 12) for v in values) if x}
     pairs = sequential.under_budget(["甲乙丙丁。", "戊己"], 2, lambda t: [t[i : i + 2] for i in range(0, len(t), 2)], "".join)
     assert pairs == ["甲乙丙丁", "。", "戊己"]
     long = "句。" * 200_000
