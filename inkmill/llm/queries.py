@@ -133,10 +133,34 @@ _LINES = rf"""
 """
 
 
+_NAME = "nullif(regexp_replace(regexp_replace(lower(trim({x})), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+_UNIT = "CAST('0x' || substr(md5('42|' || r.dataset), 1, 8) AS BIGINT) / 4294967296.0"
+
+#: Systematic sampling: expected copies summed along (length class, md5), one offset per source, a copy for each whole number crossed.
+_MIX = f"""
+    named AS (SELECT id, {_NAME.format(x='dataset')} AS dataset, author, text, length(text) AS n_chars FROM combined_records WHERE id IS NOT NULL AND length(text) > 0),
+    one AS (SELECT * FROM named WHERE dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY dataset, n_chars, md5(text), author) = 1),
+    steps AS (SELECT *, (length(bin(n_chars)) - 1) * 4 + CAST(floor(n_chars * 4 / pow(2.0, length(bin(n_chars)) - 1)) AS INT) - 4 AS step, md5('42|' || id) AS place FROM one),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY step, place, id) AS seat FROM steps),
+    wish AS (SELECT {_NAME.format(x='dataset')} AS dataset, sum(CAST(target_share AS DECIMAL(18, 9))) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 GROUP BY 1),
+    sizes AS (SELECT dataset, sum(n_chars) AS available FROM one GROUP BY 1),
+    shares AS (SELECT w.*, s.available, CAST(w.target_share AS DOUBLE) / CAST(sum(w.target_share) OVER () AS DOUBLE) AS share FROM wish w JOIN sizes s USING (dataset)),
+    plan AS (SELECT *, least(share * min(available * max_repeats / share) OVER () / available, max_repeats) AS copies FROM shares),
+    counted AS (SELECT r.*, least(CAST(floor(seat * copies + {_UNIT}) - floor((seat - 1) * copies + {_UNIT}) AS INT), max_repeats) AS n FROM ranked r JOIN plan p ON p.dataset = r.dataset),
+    mixture AS (SELECT id, unnest(range(1, n + 1)) AS copy_no, dataset, author, n_chars, text FROM counted WHERE n > 0),
+    wanted AS (SELECT {_NAME.format(x='dataset')} AS dataset, sum(target_share) AS target_share FROM mix_targets GROUP BY 1),
+    got AS (SELECT dataset, sum(n_chars) AS actual_chars, count(*) AS records, max(copy_no) AS most_copies FROM mixture GROUP BY 1)
+"""
+
+
 def oracle_sql() -> dict:
     """SQL for what SQL can say; the others are tested against brute force, round trips and held-out labels."""
     return {
         "p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1000",
         "p3_found": f"WITH {_LINES} SELECT DISTINCT id, CAST(line_no AS BIGINT) AS line_no FROM keyed JOIN templates USING (source_file, k)",
+        "p4_mix": f"WITH {_MIX} SELECT id, CAST(copy_no AS INT) AS copy_no, dataset, author, CAST(n_chars AS BIGINT) AS n_chars, text FROM mixture",
+        "p4_shares": f"""WITH {_MIX} SELECT w.dataset, w.target_share, round(w.target_share / sum(w.target_share) OVER (), 9) AS wanted_share, CAST(coalesce(actual_chars, 0) AS BIGINT) AS actual_chars,
+            round(coalesce(actual_chars, 0) / sum(actual_chars) OVER (), 9) AS actual_share, coalesce(records, 0) AS records, CAST(coalesce(most_copies, 0) AS INT) AS most_copies FROM wanted w LEFT JOIN got USING (dataset)""",
+        "p4_authors": f"WITH {_MIX} SELECT coalesce({_NAME.format(x='author')}, 'unknown') AS author, CAST(sum(n_chars) AS BIGINT) AS actual_chars, round(sum(n_chars) / (SELECT sum(n_chars) FROM mixture), 9) AS actual_share FROM mixture GROUP BY 1",
         "p3_templates": f"WITH {_LINES} SELECT source_file, k AS template, n AS documents FROM templates",
     }

@@ -31,3 +31,21 @@ def test_empty(spark):
     targets = spark.createDataFrame([("small", 1.0, 2)], "dataset string, target_share double, max_repeats int")
     assert mixing.mix(records(spark).where("false"), targets).count() == 0
     assert mixing.mix(records(spark), targets.where("false")).count() == 0
+
+
+def test_two_deliveries_of_one_key(spark):
+    """Twenty keys delivered as dataset a and as dataset b: the same delivery is counted and emitted, in either order of rows."""
+    rows = [(f"k{i}", d, None, "甲" * 100) for d in "ab" for i in range(20)] + [(f"o{i}", "b", None, "乙" * 100) for i in range(20)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "dataset string, target_share double, max_repeats int")
+    made = []
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "id string, dataset string, author string, text string")
+        mixture = mixing.mix(df, targets)
+        made.append(sorted((r.id, r.dataset, r.copy_no) for r in mixture.collect()))
+        assert {r.dataset: r.records for r in mixing.mixed_shares(mixture, targets).collect()} == {"a": 20, "b": 20}
+    assert made[0] == made[1]
+
+
+def test_length_steps_rise(spark):
+    got = [r[0] for r in spark.range(1, 5000).select(mixing.length_step(mixing.F.col("id")).alias("s")).collect()]
+    assert got == sorted(got) and got[0] == 0 and got[1023] == 40
