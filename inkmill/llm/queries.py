@@ -31,7 +31,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.site_templates(sitelines.site_lines(read_table(spark, d, "chunks")))
+    chunks = read_table(spark, d, "chunks")
+    return sitelines.site_templates(chunks, sitelines.site_lines(chunks, slots=True))
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -162,5 +163,12 @@ def oracle_sql() -> dict:
         "p4_shares": f"""WITH {_MIX} SELECT w.dataset, w.target_share, round(w.target_share / sum(w.target_share) OVER (), 9) AS wanted_share, CAST(coalesce(actual_chars, 0) AS BIGINT) AS actual_chars,
             round(coalesce(actual_chars, 0) / sum(actual_chars) OVER (), 9) AS actual_share, coalesce(records, 0) AS records, CAST(coalesce(most_copies, 0) AS INT) AS most_copies FROM wanted w LEFT JOIN got USING (dataset)""",
         "p4_authors": f"WITH {_MIX} SELECT coalesce({_NAME.format(x='author')}, 'unknown') AS author, CAST(sum(n_chars) AS BIGINT) AS actual_chars, round(sum(n_chars) / (SELECT sum(n_chars) FROM mixture), 9) AS actual_share FROM mixture GROUP BY 1",
-        "p3_templates": f"WITH {_LINES} SELECT source_file, k AS template, n AS documents FROM templates",
+        "p3_templates": f"""WITH {_LINES}, rest AS (SELECT source_file, id, k FROM keyed ANTI JOIN templates USING (source_file, k) WHERE length(k) > 8),
+            wide AS (SELECT source_file, left(k, 4) || '*' || right(k, 4) AS k, count(DISTINCT id) AS n FROM rest GROUP BY 1, 2 HAVING count(DISTINCT k) > 1)
+            SELECT source_file, k AS template, n AS documents, false AS slot FROM templates UNION ALL SELECT source_file, k, n, true FROM wide JOIN base USING (source_file) WHERE n >= 4 AND n >= 0.1 * base""",
+        "p3_cleaned": f"""WITH {_LINES}, d AS (SELECT DISTINCT id, source_file, text FROM chunks),
+            e AS (SELECT id, source_file, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM d WHERE text IS NOT NULL AND id IS NOT NULL AND source_file IS NOT NULL),
+            f AS (SELECT x.id, x.source_file, x.text, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE t.k IS NULL) AS clean FROM (SELECT *, regexp_replace(lower(translate(line, '{_FULL}', '{_HALF}')), '[^\\p{{L}}]+', '', 'g') AS fold FROM e) x
+                LEFT JOIN templates t ON t.source_file = x.source_file AND t.k = x.fold GROUP BY ALL)
+            SELECT d.id, d.source_file, CASE WHEN f.id IS NULL THEN d.text ELSE coalesce(f.clean, '') END AS text FROM d LEFT JOIN f ON f.id = d.id AND f.source_file = d.source_file AND f.text = d.text""",
     }
