@@ -1,10 +1,11 @@
 """Reading level of documents from the acquisition grade of their words.
 
-A word (a pair of letters, or a single one, since the prose is not segmented) gets its grade from a graded sample: its
-relative frequencies per level, smoothed, give the mean level at which it is met, and how strongly it speaks for it. A
-document is described by the distribution of its known words' grades over windows of about a sentence; edges between
-levels are calibrated on the median grades of the labelled documents, and the level in which most of the text falls
-prevails. Words outside the sample are unknown and say nothing.
+The words are learnt from a graded sample: single letters, and stretches of two to four that stand together far more
+often than their parts would by chance. A word's acquisition grade comes from how its uses are distributed over the graded texts: its rates
+per level, smoothed, give the mean level at which it is met. A document is described by quantiles of its known words'
+grades. They are calibrated on the labelled documents: for each quantile, edges between levels stand midway between the
+levels' medians, so each quantile names a level, and the level named most often is the one of most of the text. Words
+outside the dictionary are unknown and say nothing.
 """
 
 from __future__ import annotations
@@ -22,19 +23,30 @@ from inkmill.sources.tables import spread
 LEVELS = (1, 2, 3, 4)
 #: Bound of the labelled documents that the model is fitted on, in the order of a hash; every document is then scored.
 FIT_DOCUMENTS = 2000
-#: A word is known if it stands in this many of the labelled documents.
-LEAST_DOCUMENTS = 3
-QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
-#: Letters of a window whose mean grade is one value of the distribution; about a sentence.
-WINDOW = 24
-#: Letters scored at once.
-BLOCK = 1 << 20
+#: A word stands in this many of the labelled documents, has so many letters, and stands together so many times as often as by chance.
+LEAST_DOCUMENTS, SIZES, COHESION = 3, (1, 2, 3, 4), {1: 0.0, 2: 8.0, 3: 20.0, 4: 20.0}
+#: Quantiles of the known words' grades that are calibrated.
+QUANTILES = tuple(k / 20 for k in range(1, 20))
+#: Pseudo-uses that every word has, spread over the levels as the letters are.
+SMOOTHING = 1.0
 
 
-def words_of(letters: np.ndarray) -> np.ndarray:
-    """A code for the pair that begins at each letter."""
+def stretches(letters: np.ndarray, size: int) -> np.ndarray:
+    """A code for the stretch of ``size`` letters that begins at each letter."""
     x = letters.astype(np.uint64)
-    return x[:-1] << np.uint64(21) | x[1:] if len(x) > 1 else np.zeros(0, np.uint64)
+    h = np.full(max(0, len(x) - size + 1), size, np.uint64)
+    for j in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + len(h)] + np.uint64(1)
+    return h ^ (h >> np.uint64(29))
+
+
+def found_at(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each code is in the sorted table, where)."""
+    if not len(table):
+        return np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=np.int64)
+    at = np.searchsorted(table, codes)
+    at[at == len(table)] = 0
+    return table[at] == codes, at
 
 
 def mainly_chinese(points: np.ndarray, table: np.ndarray) -> bool:
@@ -50,64 +62,97 @@ def mainly_chinese(points: np.ndarray, table: np.ndarray) -> bool:
 
 
 class Grades:
-    """Words' grades and the calibrated edges between levels."""
+    """The dictionary of words, their grades, and the calibrated quantiles."""
 
     def __init__(self, texts: list[str], levels: list[int], folds: tuple[str, str]):
         table = letter_table(*folds)
-        self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
         kept = [(table[p][table[p] > 0], lv) for p, lv in ((code_points(t), lv) for t, lv in zip(texts, levels)) if mainly_chinese(p, table)]
         self.seen = sorted({lv for _, lv in kept})
+        self.words = {q: (np.zeros(0, np.uint64), np.zeros(0)) for q in SIZES}
+        self.edges = np.zeros((0, len(QUANTILES)))
         if not kept:
-            self.edges, self.seen = np.zeros(0), [LEVELS[1]]
+            self.seen = [LEVELS[1]]
             return
-        codes = np.concatenate([words_of(x) for x, _ in kept])
-        sizes = [max(0, len(x) - 1) for x, _ in kept]
-        doc = np.repeat(np.arange(len(kept)), sizes)
-        level = np.repeat([lv for _, lv in kept], sizes)
-        words, at = np.unique(codes, return_inverse=True)
-        spread_ = np.unique(at.astype(np.int64) * len(kept) + doc) // len(kept)
-        documents = np.bincount(spread_, minlength=len(words))
-        counts = np.stack([np.bincount(at[level == lv], minlength=len(words)) for lv in LEVELS], axis=1).astype(float)
-        totals = np.maximum(1.0, counts.sum(axis=0))
-        known = documents >= min(LEAST_DOCUMENTS, len(kept))
-        rates = (counts + 0.5 * totals / totals.sum() * 2) / totals
+        letters = np.concatenate([x for x, _ in kept])
+        doc = np.repeat(np.arange(len(kept)), [len(x) for x, _ in kept])
+        level = np.array([lv for _, lv in kept])
+        for size, words in self.dictionary(letters, doc, min(LEAST_DOCUMENTS, len(kept))).items():
+            self.words[size] = words, self.acquisition(words, stretches(letters, size), level[doc[: max(0, len(letters) - size + 1)]])
+        labels, profiles = [], []
+        for x, lv in kept:
+            got = self.profile(x)
+            if got is not None:
+                labels.append(lv)
+                profiles.append(got)
+        labels, profiles = np.array(labels), np.array(profiles).reshape(-1, len(QUANTILES))
+        self.seen = sorted(set(labels.tolist())) or [LEVELS[1]]
+        # The median over a level's documents is robust to a rater's slip.
+        centres = np.array([np.median(profiles[labels == lv], axis=0) for lv in self.seen if (labels == lv).any()]).reshape(-1, len(QUANTILES))
+        self.edges = (centres[1:] + centres[:-1]) / 2
+
+    @staticmethod
+    def dictionary(letters: np.ndarray, doc: np.ndarray, least: int) -> dict[int, np.ndarray]:
+        """Sorted codes of the words of each size."""
+        codes = {q: stretches(letters, q) for q in range(1, max(SIZES) + 1)}
+        tables = {q: np.unique(c, return_counts=True) for q, c in codes.items()}
+
+        def count(q: int, c: np.ndarray) -> np.ndarray:
+            hit, at = found_at(tables[q][0], c)
+            return np.where(hit, tables[q][1][at], 1)
+
+        out = {}
+        for q in SIZES:
+            inside = np.flatnonzero(doc[: len(codes[q])] == doc[q - 1 : q - 1 + len(codes[q])])
+            words, first, at = np.unique(codes[q][inside], return_index=True, return_inverse=True)
+            pairs = np.unique(at.astype(np.int64) * (int(doc[-1]) + 1) + doc[inside]) // (int(doc[-1]) + 1)
+            good = np.flatnonzero(np.bincount(pairs, minlength=len(words)) >= least)
+            place = inside[first[good]]
+            cohesion = np.full(len(good), np.inf)
+            for s in range(1, q):
+                parts = count(s, codes[s][place]) * count(q - s, codes[q - s][place + s]).astype(float)
+                cohesion = np.minimum(cohesion, count(q, words[good]) * float(len(letters)) / parts)
+            out[q] = words[good[cohesion >= COHESION[q]]]
+        return out
+
+    def acquisition(self, words: np.ndarray, codes: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """The mean level at which each word is met, levels weighted alike."""
+        hit, at = found_at(words, codes)
+        counts = np.stack([np.bincount(at[hit & (level == lv)], minlength=len(words)) for lv in LEVELS], axis=1).astype(float)
+        totals = np.maximum(1.0, np.bincount(level, minlength=max(LEVELS) + 1)[list(LEVELS)].astype(float))
+        rates = (counts + SMOOTHING * totals / totals.sum()) / totals
         rates[:, [i for i, lv in enumerate(LEVELS) if lv not in self.seen]] = 0
-        share = rates / rates.sum(axis=1, keepdims=True)
-        self.codes = words[known]
-        self.values = (share @ np.array(LEVELS, dtype=float))[known]
-        # Calibrated quantiles: the median grade of each level's documents, robust to a rater's slip; levels part midway.
-        medians = np.array([np.median(self.windows(x)[0]) if len(x) > 1 else np.nan for x, _ in kept])
-        labels = np.array([lv for _, lv in kept])
-        centres = [np.nanmedian(medians[labels == lv]) for lv in self.seen]
-        self.edges = np.array([(a + b) / 2 for a, b in zip(centres, centres[1:])])
+        return rates @ np.array(LEVELS, dtype=float) / rates.sum(axis=1)
 
     def grades(self, letters: np.ndarray) -> np.ndarray:
-        """The grade of the word at each letter; nan for unknown ones."""
-        codes = words_of(letters)
-        if not len(codes) or not len(self.codes):
-            return np.zeros(0)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == codes, self.values[at], np.nan)
-
-    def windows(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mean grade, known words) of each window that has known words."""
+        """The grades of the known words: the longest one that begins at each letter, single letters only outside longer ones."""
+        out, free = np.full(len(letters), np.nan), np.ones(len(letters), dtype=bool)
+        for size in SIZES:
+            words, values = self.words[size]
+            hit, at = found_at(words, stretches(letters, size))
+            out[: len(hit)][hit] = values[at[hit]]
+            if size > 1:
+                for j in range(size):
+                    free[j : j + len(hit)][hit] = False
+                longer = hit if size == SIZES[1] else np.append(longer[: len(hit)] | hit, longer[len(hit) :])
+        out[: len(longer)][~longer & ~free[: len(longer)]] = np.nan
+        out[len(longer) :][~free[len(longer) :]] = np.nan
+        return out[~np.isnan(out)]
+
+    def profile(self, letters: np.ndarray) -> np.ndarray | None:
+        """Quantiles of the known words' grades; None without a known word."""
         g = self.grades(letters)
-        known = ~np.isnan(g)
-        if not known.any():
-            return np.array([float(np.mean(LEVELS))]), np.ones(1)
-        edges = np.arange(-(-len(g) // WINDOW)) * WINDOW
-        sums = np.add.reduceat(np.where(known, g, 0.0), edges)
-        counts = np.add.reduceat(known.astype(float), edges)
-        return sums[counts > 0] / counts[counts > 0], counts[counts > 0]
-
-    def quantiles(self, letters: np.ndarray) -> np.ndarray:
-        return np.quantile(self.windows(letters)[0], QUANTILES)
+        if not len(g):
+            return None
+        at = (np.array(QUANTILES) * (len(g) - 1)).round().astype(int)
+        g.partition(np.unique(at))
+        return g[at]
 
     def level(self, letters: np.ndarray) -> int:
-        """The level in which most known words' windows fall, the lower one between two."""
-        means, counts = self.windows(letters)
-        votes = np.bincount(np.searchsorted(self.edges, means), weights=counts, minlength=len(self.seen))
+        """The level that most quantiles name, the lower one between two; the middle of the levels without a known word."""
+        got = self.profile(letters)
+        if got is None:
+            return int(self.seen[(len(self.seen) - 1) // 2])
+        votes = np.bincount((got > self.edges).sum(axis=0), minlength=len(self.seen))
         return int(self.seen[int(votes.argmax())])
 
 

@@ -28,6 +28,22 @@ def test_levels_and_left_out(spark):
     assert grades.reading_levels(df.where("false"), lab).count() == 0
 
 
+def test_dictionary_grades_and_quantiles():
+    np = grades.np
+    words = {1: ["小狗", "妈妈", "花草"], 2: ["慢慢", "湖边", "树林"], 3: ["遂径", "当下", "霍然"], 4: ["饕餮", "葳蕤", "旖旎"]}
+    text = lambda lv, n=150: "".join(RANDOM.choice(words[lv]) for _ in range(n))
+    texts, levels = [text(1 + i % 4) for i in range(80)], [1 + i % 4 for i in range(80)]
+    model = grades.Grades(texts, levels, ("", ""))
+    points = lambda t: np.array([ord(c) for c in t], np.uint32)
+    assert len(model.words[2][0]) >= 12 and model.edges.shape == (3, len(grades.QUANTILES))
+    assert model.grades(points("小狗")).tolist()[0] < 1.3 and model.grades(points("饕餮"))[0] > 3.7
+    assert (np.diff(model.edges, axis=0) > 0).all()
+    assert model.level(points(text(1, 120) + text(4, 80))) == 1 and model.level(points(text(4, 120) + text(1, 80))) == 4
+    assert model.profile(points("龘")) is None and model.level(points("龘")) == 2
+    assert grades.Grades([], [], ("", "")).level(points("狗牛")) == 2
+    assert grades.Grades(["狗"], [3], ("", "")).level(points("狗牛")) in (2, 3)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
