@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from inkmill.llm import leaks
 
 RANDOM = random.Random(4)
@@ -37,11 +35,42 @@ def test_found_and_not_found(spark):
     assert leaks.leaks(df.where("false"), its).count() == 0 and leaks.leaks(df, its.where("false")).count() == 0
 
 
-def test_items_have_a_bound(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "MOST_LETTERS", 3)
-    its = spark.createDataFrame([(1, "甲乙丙丁")], "item_id bigint, text string")
-    with pytest.raises(ValueError):
-        leaks.leaks(its.withColumnRenamed("item_id", "doc_id"), its)
+def test_places_of_the_longest_verbatim_match(spark):
+    item = prose(90)
+    docs = [(1, prose(50) + item[10:60] + prose(40)), (2, "（" + "，".join(edited(item, 16)) + "）"), (3, item), (4, prose(30) + item[:45] + prose(3) + item[45:] + prose(9))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in leaks.leaks(df, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4}
+
+    def longest(t):
+        return max(n for i in range(len(item)) for n in range(1, len(item) - i + 1) if item[i : i + n] in t)
+
+    for k, t in docs:
+        r, letters = got[k], "".join(c for c in t if c.isalpha())
+        assert "".join(c for c in t[r.start : r.end] if c.isalpha()) == item[r.item_start : r.item_start + r.verbatim]
+        assert r.verbatim == longest(letters)
+
+
+def test_suffix_order():
+    np = leaks.np
+    letters = np.array([RANDOM.randrange(1, 4) for _ in range(400)] + [2] * 60, dtype=np.uint32)
+    at, end = np.arange(len(letters)), np.where(np.arange(len(letters)) < 200, 200, len(letters))
+    got = leaks.suffix_order(letters, at, end, 500)
+    assert got.tolist() == sorted(at.tolist(), key=lambda i: letters[i : end[i]].tolist())
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    items = [(i, prose(60)) for i in range(12)]
+    docs = spark.createDataFrame([(i, prose(20) + t + prose(20)) for i, t in items], "doc_id bigint, text string")
+    its = spark.createDataFrame(items + [(50, "甲乙丙")], "item_id bigint, text string")
+    monkeypatch.setattr(leaks, "MOST_LETTERS", 200)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, its).collect()} == {(i, i) for i in range(12)}
+
+
+def test_short_items_are_matched_by_whole_letters(spark):
+    df = spark.createDataFrame([(1, "Ā\u0101甲乙"), (2, "丙甲乙丁"), (3, "甲丁乙")], "doc_id bigint, text string")
+    its = spark.createDataFrame([(1, "甲乙"), (2, "乙")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, its).collect()} == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 2)}
 
 
 def test_other_script_and_signs(spark):
