@@ -28,7 +28,8 @@ from inkmill.sources.tables import spread
 STEPS = [
     ("latin", "utf-8"), ("latin", "gb18030"), ("latin", "big5"), ("gb18030", "utf-8"), ("gb18030", "big5"), ("big5", "gb18030"), ("big5", "utf-8"),
     ("utf-16-le", "utf-16-be"), ("utf-16-be", "utf-8"), ("utf-16-le", "utf-8"), ("utf-16-be", "gb18030"), ("utf-16-le", "gb18030"), ("shift_jis", "gb18030"), ("shift_jis", "utf-8"), ("cp949", "gb18030"), ("cp949", "utf-8"),
-    ("cp1251", "gb18030"), ("cp1251", "utf-8"), ("cp1251", "big5"),
+    ("cp1251", "gb18030"), ("cp1251", "utf-8"), ("cp1251", "big5"), ("koi8-r", "gb18030"), ("koi8-r", "utf-8"), ("koi8-r", "big5"), ("mac-roman", "utf-8"), ("mac-roman", "gb18030"), ("mac-roman", "big5"),
+    ("latin", "shift_jis"), ("latin", "euc_jp"), ("latin", "cp949"), ("gb18030", "shift_jis"), ("gb18030", "euc_jp"), ("gb18030", "cp949"), ("big5", "shift_jis"), ("big5", "cp949"),
 ]
 #: Bytes of description that a step costs, and the share of a line's length it must save besides.
 STEP_COST, SAVING = 4, 0.06
@@ -53,9 +54,14 @@ LATIN_HIGH = "\u0080-ÿ" + "".join(CP1252)
 UTF8_AS_LATIN = re.compile(f"(?:[Â-ß][{LATIN_HIGH}]|[à-ï][{LATIN_HIGH}]{{1,2}}|[ð-ô][{LATIN_HIGH}]{{3}})+")
 LATIN_RUN = re.compile(f"[{LATIN_HIGH}][{LATIN_HIGH}\\x20-\\x7e]*[{LATIN_HIGH}]")
 LATIN_HIGH_CHAR = re.compile("[\u0080-ÿ]")
-CYRILLIC = re.compile("[Ѐ-ӿ]{2}")
+CYRILLIC, CYRILLIC_BOX = re.compile("[Ѐ-ӿ]{2}"), re.compile("[Ѐ-ӿ─-╿]{2}")
+MAC_HIGH = re.compile("[" + "".join(c for c in bytes(range(0x80, 0x100)).decode("mac-roman") if c not in LATIN) + "]")
+#: A Chinese character within a Western word, and words of Chinese characters parted by blanks: neither is written so.
+IN_WORD, SPACED = re.compile("[A-Za-z][㐀-鿿][a-z]|[A-Za-z]{2}[㐀-鿿][ ,.]"), re.compile("(?:[㐀-鿿]{1,6} ){3}")
 #: What Western words look like.
 WESTERN = re.compile(r"(?:[A-Za-zÀ-ÿ’'-]{1,16}[\s.,;:!?]+){3,}")
+#: Letters that hardly any sentence of the language lacks.
+JAPANESE_COMMON, KOREAN_COMMON = "のにはをたてがでとし", "이다는을에가고의하지은도를기로"
 HANGUL, HALF_KANA = re.compile("[가-힣]"), re.compile("[｡-ﾟ]|[亜-黑].*[ァ-ヶ]")
 #: Characters that no Chinese, Japanese or Western code page shows.
 STRANGE = re.compile("[ɐ-ʯ؀-ῼⰀ-ⷿꀀ-꿿가-힣\ue000-\uf8ff﷐-﷿]|[㐀-䶵]")
@@ -245,26 +251,42 @@ def fit_table(df: DataFrame, text: str) -> tuple[np.ndarray, bytes]:
     return usual, "\n".join(first_lines({r[0]: r[1] for r in lines}).values()).encode()
 
 
+def western(text: str) -> bool:
+    m = WESTERN.match(text + " ")
+    return bool(m) and m.end() >= 0.9 * len(text)
+
+
 def readable(model: Model, line: str, out: str) -> bool:
-    """Whether what an outcome has beyond the line's own ASCII is made of usual characters, mostly Chinese ones."""
+    """Whether an outcome may be prose: Western words, Japanese, Korean, or mostly usual Chinese characters beyond the line's own ASCII."""
+    if western(out):
+        return not western(line) and out.count("?") <= line.count("?")
     points = code_points(out)
     plain = min(int((points < 0x80).sum()), int((code_points(line) < 0x80).sum()))
     fresh = len(points) - plain
     wide = points > 0x2E80
-    if WESTERN.match(out + " ") and WESTERN.match(out + " ").end() >= 0.9 * len(out) and not WESTERN.search(line):
-        return True
-    good = model.usual[points] & ((points >= 0x80) | (points == 10))
+    kana, hangul = (points >= 0x3041) & (points < 0x3100), (points >= 0xAC00) & (points < 0xD7A4)
     lost = int((points == 0xFFFD).sum())
+    for own, common in ((kana, JAPANESE_COMMON), (hangul, KOREAN_COMMON)):
+        n = int(own.sum())
+        if n >= 4 and 3 * n >= fresh and not lost:
+            known = own | model.usual[points] | (wide & ~hangul if own is kana else False)
+            return sum(c in common for c in out) >= 0.15 * n and int((known & (points >= 0x80)).sum()) >= 0.9 * fresh
+    # Rare characters are prose only where nothing but characters of GB 2312 comes out.
+    rare = fresh >= 8 and not lost and bool((model.usual | model.plain)[points].all()) and not re.search("[A-Za-z]", out)
+    good = (rare | model.usual[points]) & ((points >= 0x80) | (points == 10))
     return fresh > 0 and int(good.sum()) >= 0.8 * (fresh - lost) and 2 * int((good & wide).sum()) >= fresh
 
 
 def unmade(line: str) -> Iterator[tuple[str, str]]:
     """(step, outcome) of undoing one wrong decoding, over the whole line or a stretch of it."""
-    latin, hangul, kana, strange, cyrillic = (bool(x.search(line)) for x in (LATIN_HIGH_CHAR, HANGUL, HALF_KANA, STRANGE, CYRILLIC))
+    needs = {"latin": LATIN_HIGH_CHAR, "cp949": HANGUL, "shift_jis": HALF_KANA, "cp1251": CYRILLIC, "koi8-r": CYRILLIC_BOX, "mac-roman": MAC_HIGH, "utf-16-le": STRANGE, "utf-16-be": STRANGE}
+    there, data_of = {wrong: bool(x.search(line)) for wrong, x in needs.items()}, {}
     for wrong, right in STEPS:
-        if not {"latin": latin, "cp949": hangul, "shift_jis": kana, "cp1251": cyrillic}.get(wrong, strange if wrong.startswith("utf-16") else True):
+        if not there.get(wrong, True):
             continue
-        data, bad = to_bytes(line, wrong)
+        if wrong not in data_of:
+            data_of[wrong] = to_bytes(line, wrong)
+        data, bad = data_of[wrong]
         if bad > 0.2 * len(line) or bad and wrong.startswith("utf-16"):
             continue
         text, lost = from_bytes(data, right)
@@ -275,7 +297,7 @@ def unmade(line: str) -> Iterator[tuple[str, str]]:
     if LATIN_RUN.search(line):
         for right in ("gb18030", "big5", "utf-8"):
             yield f"latin>{right}", LATIN_RUN.sub(lambda m, right=right: _stretch(m.group(), "latin", right), line)
-    data, bad = to_bytes(line, "gb18030")
+    data, bad = data_of["gb18030"]
     if not bad and UTF8_BYTES.search(data):
         part = UTF8_BYTES.sub(lambda m: m.group().decode("utf-8", "replace").encode("gb18030", "replace") if len(m.group()) >= 6 else m.group(), data)
         yield "gb18030>utf-8", part.decode("gb18030", "replace")
@@ -304,8 +326,12 @@ def islands(line: str, odd: np.ndarray, gap: int = 6) -> list[tuple[int, int]]:
     return [(int(a), int(b) + 1) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
 
 
-def best_reading(model: Model, line: str, depth: int = 2) -> tuple[str, str]:
-    """(outcome, chain) of the shortest description; the line itself and "" if no chain pays."""
+def best_reading(model: Model, line: str, depth: int = 3) -> tuple[str, str]:
+    """(outcome, chain) of the shortest description; the line itself and "" if no chain pays.
+
+    Every outcome is measured under the dictionary of each language. A second step follows the three best outcomes seen
+    through a one-byte code page and, while nothing pays, each outcome of which no byte is lost; a third one only the former.
+    """
     here = model.length(line)
     best, chain, least = line, "", here - SAVING * here
     tried = {line}
@@ -317,9 +343,9 @@ def best_reading(model: Model, line: str, depth: int = 2) -> tuple[str, str]:
                 if out in tried:
                     continue
                 tried.add(out)
-                if not readable(model, line, out) and level + 1 == depth:
+                if level + 1 == depth and not readable(model, line, out):
                     continue
-                total = model.length(out, foreign=False) + cost + STEP_COST + 3 * out.count("�")
+                total = model.length(out) + cost + STEP_COST + 3 * (out.count("�") + max(0, out.count("?") - line.count("?")))
                 found.append((total, out, f"{path}|{step}" if path else step, cost + STEP_COST))
         found.sort()
         for total, out, path, _ in found:
@@ -329,8 +355,10 @@ def best_reading(model: Model, line: str, depth: int = 2) -> tuple[str, str]:
                 # Another step must pay as the first did.
                 least, best, chain = total - SAVING * total, out, path
                 break
-        # What is wrong twice was seen through a one-byte code page at least once.
-        front = [(out, path, cost) for total, out, path, cost in found[:3] if total < 1.5 * here and level + 1 < depth and LATIN_HIGH_CHAR.search(out)]
+        seen = [(out, path, cost) for total, out, path, cost in found if total < 1.5 * here and LATIN_HIGH_CHAR.search(out)][:3]
+        if not level and not chain:
+            seen += [(out, path, cost) for total, out, path, cost in found if total < 1.5 * here and not LATIN_HIGH_CHAR.search(out) and "�" not in out]
+        front = seen if level + 1 < depth else []
     return best, chain
 
 
@@ -342,6 +370,10 @@ def repair_line(model: Model, line: str) -> tuple[str, str] | None:
     points = code_points(line)
     odd = ~model.usual[points]
     n = int(odd.sum())
+    if IN_WORD.search(line) or SPACED.search(line):
+        out, chain = best_reading(model, line, 1)
+        if chain and not code_points(out).max() == 0xFFFD and (western(out) or HANGUL.search(out)):
+            return out, chain
     if not n:
         return None
     lost = bool(LOST.search(line))
@@ -363,7 +395,7 @@ def repair_line(model: Model, line: str) -> tuple[str, str] | None:
         return out, chain + ("|lost" if LOST.search(out) else "")
     out = UTF8_AS_LATIN.sub(lambda m: _strict(model, m.group()), line)
     if out != line:
-        return out, "latin>utf-8"
+        return out, "latin>utf-8 (valid)"
     if lost:
         return line, "lost"
     # Neither readable nor restorable: characters of several scripts run into one another.
@@ -392,8 +424,7 @@ def restore(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
             for i, t in enumerate(texts):
                 if not t:
                     continue
-                odd = ~model.usual[code_points(t)]
-                if not odd.any():
+                if model.usual[code_points(t)].all() and not IN_WORD.search(t) and not SPACED.search(t):
                     continue
                 lines, seen = t.split("\n"), {}
                 for k, line in enumerate(lines):

@@ -23,6 +23,24 @@ def test_restores_what_can_be(model, wrong, right):
     assert chain and (out == source or "�" in shown or wrong == "gb18030")
 
 
+JA, KO, DE = "老婆は窓を閉めて、静かに手紙を読み始めた。外では雨が降っていた。", "그녀는 창문을 닫고 조용히 편지를 읽기 시작했다. 밖에는 비가 내리고 있었다.", "Der Müller schloß die Tür und ging über die Brücke nach Hause, während die Mädchen schliefen."
+
+
+@pytest.mark.parametrize(
+    "source,steps",
+    [
+        (JA, "utf-8>latin-1"), (KO, "utf-8>latin-1"), (JA, "shift_jis>gb18030"), (KO, "euc_kr>gb18030"), (DE, "utf-8>gb18030"), (LINE, "gb18030>koi8-r"), (LINE, "utf-8>mac-roman"), (LINE, "utf-8>latin-1 utf-8>latin-1"),
+        (LINE, "utf-8>latin-1 utf-8>latin-1 utf-8>latin-1"), (DE, "utf-8>latin-1"), (JA, "euc_jp>latin-1"), (JA, "shift_jis>latin-1"), (KO, "euc_kr>latin-1"), ("夫饕餮不息非其葳蕤之旖旎也譬諸蜩螗".replace("諸", "诸"), "gb18030>latin-1"),
+    ],
+)
+def test_other_languages_code_pages_and_chains(model, source, steps):
+    shown = source
+    for step in steps.split():
+        right, wrong = step.split(">")
+        shown = shown.encode(right).decode(wrong)
+    assert encoding.repair_line(model, shown)[0] == source
+
+
 def test_utf8_as_gbk_and_lost_bytes(model):
     shown = LINE.encode("utf-8").decode("gb18030", "replace")
     out, chain = encoding.repair_line(model, shown)
@@ -32,7 +50,7 @@ def test_utf8_as_gbk_and_lost_bytes(model):
     assert encoding.repair_line(model, "那老者道：â€œ走罢。â€\x9d径自去了。")[0] == "那老者道：“走罢。”径自去了。"
 
 
-@pytest.mark.parametrize("line", [LINE, "", "他把那家店唤作 café Étoilé，坐下便走。", "药方上注着 5µg 与 ±2° 的字样。", "箱上贴着「東京みやげ」的纸条。", "书中夹着一个生僻的𪚥字。", "上前，又走了。", "&nbsp;走 &amp; 罢", "Der Fährmann fand unter dem Dach eine Lampe.", "饕餮葳蕤旖旎巉岩，鹪鹩蜩螗。", "소녀가 말없이 오래된 편지를 숨겼다.", "纸上只有½与¾两个记号。"])
+@pytest.mark.parametrize("line", [LINE, "", "他把那家店唤作 café Étoilé，坐下便走。", "药方上注着 5µg 与 ±2° 的字样。", "箱上贴着「東京みやげ」的纸条。", "书中夹着一个生僻的𪚥字。", "上前，又走了。", "&nbsp;走 &amp; 罢", "Der Fährmann fand unter dem Dach eine Lampe.", "饕餮葳蕤旖旎巉岩，鹪鹩蜩螗。", "소녀가 말없이 오래된 편지를 숨겼다.", "纸上只有½与¾两个记号。", JA, KO, DE, "Он вышел из дома и пошёл к реке.", "Η γυναίκα διάβασε το γράμμα.", "他穿T恤x号，去A座b层。", "Elle ferma la fenêtre et se mit à lire près du feu, très émue."])
 def test_sound_lines_stay(model, line):
     assert encoding.repair_line(model, line) is None
 
