@@ -1,14 +1,16 @@
 """Defective prompt and response pairs: empty, refused, copied, in another language, or broken off.
 
 A copy is a response that a zstandard dictionary made of its own prompt compresses to a fraction of its size. Refusals
-are found by a dictionary of what is declined and how, languages by scripts and per-language dictionaries, and breaking
-off by a terminal-context model: how often each closing context ends a response, counted over all responses.
+are found by a dictionary of what is declined and how, in what the answerer says and not a character; languages by scripts
+and per-language dictionaries; and breaking off by a terminal-context model: how often each run of closing signs ends a
+response, counted over all responses. What was asked for (an echo, a summary) is read from the request's wording.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,13 +25,14 @@ from inkmill.sources.tables import spread
 
 #: A response is a copy if its prompt explains all but this share of its size, at about the prompt's length.
 COPY_SIZE, COPY_LENGTH = 0.5, (0.8, 1.35)
-#: A sign ends sentences if it ends at least this share of the places where it stands, as a full stop does.
+#: A run of signs ends sentences if it ends responses at this share of the places where it stands, as a full stop does.
 TERMINAL_RATE = 0.1
-#: Signs that end a sentence whatever is counted, and signs that never do.
-ENDERS = "。！？…”’」』.!?\"'）)】》～~"
+#: Signs that end a sentence by themselves, signs after which one always goes on, and what mostly closes where nothing is counted.
+SENTENCE = set("。！？…!?.")
 NEVER = set("，,、；;：:—–-─·・“‘「『（(【《〈〔[{<")
-#: Places without an end that every sign is given besides its own, as a share of all places of signs.
-PRIOR = 0.0001
+CLOSERS = set("”’」』\"'）)】》～~")
+#: Signs of a context at most, and the share of all sign runs that a context needs to be counted by itself.
+CONTEXT, LEAST_SHARE = 3, 0.0001
 #: A line of a prompt this short, in letters, is a request's wording and not part of the text handed over.
 WORDING = 24
 #: How a task is declined, and what is declined.
@@ -45,8 +48,14 @@ DECLINE_OTHER = re.compile(
     r"|申し訳(?:ありません|ございません)|お手伝いできません|ご要望にはお応え|お応えできません|죄송(?:합니다|하지만)|도와드릴 수 없|처리할 수 없",
     re.IGNORECASE,
 )
-#: A request to give the text back as it is.
-ECHO = re.compile("原封不动|照原样|照抄|抄录|一个?字也?(?:别|不要|不)(?:动|改)|只需复述|勿作改动|原样(?:复述|返回|输出)|原文复述")
+#: Sentences of a response, from either end, in which it may be declined.
+REFUSAL_SENTENCES = 3
+#: Pairs of quotation marks, and whose words or doings a sentence tells.
+QUOTED = re.compile("“[^“”]*”|‘[^‘’]*’|「[^「」]*」|『[^『』]*』|\"[^\"\n]*\"")
+TOLD = re.compile("[他她]们?|那(?:人|老|少|汉|道|女|妇|书|掌|店|船|捕|和|僧)|[说道问答喝叹笑曰]\\s*[：:]|道[：:，,]?$")
+#: A request to give the text back as it is, and one to say it in short.
+ECHO = re.compile("原封不动|照原样|照抄|抄录|一个?字也?(?:别|不要|不)(?:动|改)|只需复述|勿作改动|原样(?:复述|返回|输出)|原文复述|一字不[改差动]")
+SUMMARY = re.compile("概[述括要]|提要|大意|总结|归纳|摘要|梗概|主旨|要点|简述|(?:写|讲|说)了(?:什么|些什么|啥)|[一两]{1,2}句话|最短的话|讲清情节|缩写|简短地?(?:说|讲)|summar", re.IGNORECASE)
 KANA, HANGUL, HAN = re.compile("[ぁ-ゖァ-ヺー]"), re.compile("[가-힣]"), re.compile("[㐀-䶵一-鿿\U00020000-\U0003ffff]")
 OTHER_LETTER = re.compile(r"[^\W\d_]")
 
@@ -83,7 +92,25 @@ def language(text: str) -> str:
 
 
 def is_refusal(text: str) -> bool:
-    return bool(DECLINE_ZH.search(text) or DECLINE_OTHER.search(text))
+    """Whether the answerer declines, in one of the first or last sentences and outside of quotation marks.
+
+    What a character says within the story is quoted or told of a third person; a response that is quoted as a whole is
+    the answerer's own.
+    """
+    outside, n = text, 1
+    while n:
+        outside, n = QUOTED.subn("。", outside)
+    if not any(c.isalnum() for c in outside):
+        outside = text
+    parts = [x for x in re.split(r"(?<=[。！？!?\n])|(?<=\.)\s", outside) if any(c.isalnum() for c in x)]
+    some = parts if len(parts) <= 2 * REFUSAL_SENTENCES else parts[:REFUSAL_SENTENCES] + parts[-REFUSAL_SENTENCES:]
+    for part in some:
+        if DECLINE_OTHER.search(part):
+            return True
+        m = DECLINE_ZH.search(part)
+        if m and not TOLD.search(part[: m.start()]):
+            return True
+    return False
 
 
 def letters_of(text: str) -> str:
@@ -100,6 +127,16 @@ def passage_of(prompt: str) -> str:
     return "\n".join(parts)
 
 
+def wording_of(prompt: str) -> str:
+    """What may be the request in a prompt: a short first or last line, or what stands before a colon in the first."""
+    parts = [x for x in prompt.split("\n") if any(c.isalnum() for c in x)]
+    if not parts:
+        return ""
+    first = parts[0] if len(letters_of(parts[0])) <= WORDING else re.match(f"[^：:—，。]{{0,{WORDING}}}[：:—]|", parts[0]).group()
+    last = parts[-1] if len(parts) > 1 and len(letters_of(parts[-1])) <= WORDING else ""
+    return f"{first}\n{last}"
+
+
 def is_copy(prompt: str, response: str, whole: bool = False) -> bool:
     """Whether the prompt, as a dictionary, explains the response (both folded to letters); with ``whole``, all of it."""
     import zstandard
@@ -115,16 +152,36 @@ def is_copy(prompt: str, response: str, whole: bool = False) -> bool:
     return own <= COPY_SIZE * plain
 
 
-def visible_end(text: str) -> str:
-    """The last character that shows."""
-    for c in reversed(text):
-        if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc", "Co"):
-            return c
-    return ""
+def shown(text: str) -> str:
+    """A text without characters that do not show, and without spaces."""
+    return "".join(c for c in text if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc", "Co"))
+
+
+#: A run of signs.
+SIGNS = re.compile(r"[^\w\s]+")
+
+
+def closing(text: str) -> str:
+    """The run of signs that closes a text, its last ``CONTEXT`` ones; a letter or digit if it ends in one, "" for an empty text."""
+    tail = shown(text[-40:]) or shown(text)
+    m = re.search(r"[^\w\s]+$", tail)
+    return m.group()[-CONTEXT:] if m else tail[-1:]
 
 
-def defect(prompt: str, response: str | None, echo: bool, summary: bool, terminal: frozenset, folds: dict) -> str | None:
-    """The defect of a pair, None if it is sound. ``response`` is in Simplified script."""
+def is_end(context: str, terminal: dict[str, bool]) -> bool:
+    """Whether a closing context ends a sentence: by its last sign within what closes, or by the longest part of it that was counted."""
+    if not context or context[-1].isalnum() or context[-1] in NEVER:
+        return False
+    if (context.rstrip("".join(CLOSERS)) or " ")[-1] in SENTENCE:
+        return True
+    for k in range(len(context), 0, -1):
+        if context[-k:] in terminal:
+            return terminal[context[-k:]]
+    return context[-1] in CLOSERS
+
+
+def defect(prompt: str, response: str | None, asks: bool, terminal: dict[str, bool], folds: dict) -> str | None:
+    """The defect of a pair, None if it is sound. ``response`` is in Simplified script; ``asks``: the prompt words a request."""
     text = response or ""
     if not any(c.isalnum() for c in text):
         return "empty"
@@ -133,63 +190,61 @@ def defect(prompt: str, response: str | None, echo: bool, summary: bool, termina
     tongue = language(text)
     if tongue not in ("zh", ""):
         return "other_language"
-    if not echo:
+    wording = wording_of(prompt) if asks else ""
+    if not ECHO.search(wording):
         own = letters_of(text).translate(folds)
         whole, bare = (letters_of(x).translate(folds) for x in (prompt, passage_of(prompt)))
-        if summary:
+        if SUMMARY.search(wording):
             # A summary may consist of the text's own sentences: only the whole text, letter by letter, is a copy.
             most = int(DISTANCE * max(len(bare), len(own)))
             if is_copy(bare, own, True) and edit_distance(bare, own, most) <= most:
                 return "copy"
         elif is_copy(bare, own) or is_copy(whole, own):
             return "copy"
-    end = visible_end(text)
-    if end in terminal:
+    if is_end(closing(text), terminal):
         return None
-    if not any(c in terminal for c in text.strip()[:-1]) and visible_end(prompt.split("\n")[0]) not in terminal and visible_end(prompt) not in terminal:
+    if not SENTENCE.intersection(text.strip()[:-1]) and not is_end(closing(prompt.split("\n")[0]), terminal) and not is_end(closing(prompt), terminal):
         return None  # neither side is punctuated
     return "truncated"
 
 
 def pairs_of_style(df: DataFrame) -> DataFrame:
-    return df.select(F.col("id").alias("record_key"), F.col("wuxia_text").alias("prompt"), F.col("vernacular_text").alias("response"), F.lit(False).alias("echo"), F.lit(False).alias("summary"))
+    return df.select(F.col("id").alias("record_key"), F.col("wuxia_text").alias("prompt"), F.col("vernacular_text").alias("response"), F.lit(False).alias("asks"))
 
 
 def pairs_of_samples(df: DataFrame) -> DataFrame:
     """Prompt: the user's turn. Response: the last turn if it is the assistant's, else null."""
     last = F.try_element_at("conversations", F.lit(-1))
     response = F.when(F.lower(F.trim(last["role"])).isin(*ANSWER), last["content"])
-    user = turn(F.col("conversations"), USER)
-    echo = F.col("record_id").endswith("_adversarial") | F.coalesce(user.rlike(ECHO.pattern), F.lit(False))
-    return df.select(F.col("record_id").alias("record_key"), user.alias("prompt"), response.alias("response"), echo.alias("echo"), F.col("record_id").endswith("_summary").alias("summary"))
+    return df.select(F.col("record_id").alias("record_key"), turn(F.col("conversations"), USER).alias("prompt"), response.alias("response"), F.lit(True).alias("asks"))
 
 
-def terminal_signs(pairs: DataFrame) -> frozenset:
-    """The signs that end responses, from counts over all distinct ones; letters and digits never do, nor do signs of ``NEVER``."""
+def terminal_contexts(pairs: DataFrame) -> dict[str, bool]:
+    """Whether each run of signs, of up to ``CONTEXT``, ends responses; counted over all distinct ones.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        from inkmill.functions.hanfold import code_points
+    A run counts by itself if it is ``LEAST_SHARE`` of all runs, so the table is small whatever the data, and the verdict
+    is the same for a table ten times as large.
+    """
 
-        mid, end = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, ends = Counter(), Counter()
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            points = code_points("".join(texts))
-            if len(points):
-                found, n = np.unique(points, return_counts=True)
-                mid[found] += n
-            for t in texts:
-                c = visible_end(t)
-                if c:
-                    end[ord(c)] += 1
-        at = np.array([c for c in np.flatnonzero(mid) if not chr(c).isalnum() and not chr(c).isspace()], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(mid[at]), pa.array(end[at])], names=["sign", "places", "ends"])
-
-    counted = pairs.select("response").distinct().mapInArrow(run, "sign int, places bigint, ends bigint").groupBy("sign").agg(F.sum("places"), F.sum("ends")).collect()
-    counts = {chr(s): (p, e) for s, p, e in counted}
-    prior = PRIOR * sum(p for p, _ in counts.values())
-    return frozenset({*ENDERS, *(c for c, (p, e) in counts.items() if c not in NEVER and e and e / (p + prior) >= TERMINAL_RATE)})
+            for t in batch.column(0).to_pylist():
+                if t:
+                    places.update(x[-CONTEXT:] for x in SIGNS.findall(t))
+                    end = closing(t)
+                    if end and not end.isalnum():
+                        ends[end] += 1
+        keys = list(places | ends)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([places[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["context", "places", "ends"])
+
+    counted = pairs.select("response").distinct().mapInArrow(run, "context string, places bigint, ends bigint")
+    # A run counts for its last signs, too.
+    parts = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("context")), lambda k: F.right("context", k))).alias("context"), "places", "ends")
+    sums = parts.groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
+    total = counted.agg(F.sum("places").alias("total"))
+    rows = sums.crossJoin(F.broadcast(total)).where(F.col("places") >= LEAST_SHARE * F.col("total")).select("context", "places", "ends").collect()
+    return {c: e >= TERMINAL_RATE * p for c, p, e in rows}
 
 
 def defects(style_pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -201,7 +256,7 @@ def defects(style_pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """
     spark = style_pairs.sparkSession
     pairs = pairs_of_style(style_pairs).unionByName(pairs_of_samples(samples)).where(F.col("record_key").isNotNull())
-    shared = spark.sparkContext.broadcast((terminal_signs(pairs), fold_pairs(spark)))
+    shared = spark.sparkContext.broadcast((terminal_contexts(pairs), fold_pairs(spark)))
     ready: Column = to_simplified(spark, F.col("response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +264,8 @@ def defects(style_pairs: DataFrame, samples: DataFrame) -> DataFrame:
         folds = str.maketrans(a, b)
         for batch in batches:
             keys, at, out = batch.column(0), [], []
-            for i, (prompt, response, echo, summary) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)))):
-                found = defect(prompt or "", response, bool(echo), bool(summary), terminal, folds)
+            for i, (prompt, response, asks) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 4)))):
+                found = defect(prompt or "", response, asks, terminal, folds)
                 if found:
                     at.append(i)
                     out.append(found)
