@@ -17,6 +17,8 @@ from inkmill.plans.lineage import cut
 #: Label and share; shares are ranges of a hash.
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 ROUNDS = 40
+#: A node of this many neighbours, and of this share of all edges, is a hub: hubs are few, and joined without gathering their edges.
+HUB_EDGES, HUB_SHARE = 100_000, 0.0001
 #: Components of at least this share of all records are placed by size instead of by hash.
 HEAVY = 0.005
 #: Notes that name a copy or a volume, not another book.
@@ -70,30 +72,38 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = ROUNDS)
     """(node, component) of an undirected graph of string nodes; a component is named by its least node.
 
     Alternating large-star and small-star; each round ends in a checkpoint in the shared folder. Nothing is collected
-    but one number per round. Both steps work on the least neighbour per node, which an aggregate finds map-side, so a
-    node with very many neighbours is no task's burden.
+    but two numbers per round. Both steps need the least neighbour per node, which an aggregate finds map-side; it is
+    joined back to the edges by a shuffle, but for hubs (``HUB_EDGES``, at most 1 / ``HUB_SHARE`` of them), whose least
+    neighbours are sent to where their edges lie, so that no task gathers a hub.
     """
 
+    def to_least(e: DataFrame, least: DataFrame, most: float) -> DataFrame:
+        hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("hub")))
+        marked = e.join(hubs, "u", "left")
+        rest = marked.where("hub is null").drop("hub").join(least.where(F.col("n") <= most).drop("n"), "u")
+        return rest.select("u", "v", "m").union(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
     def neighbours(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def large_star(e: DataFrame) -> DataFrame:
+    def large_star(e: DataFrame, most: float) -> DataFrame:
         both = neighbours(e)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        return to_least(both.where(F.col("v") > F.col("u")), least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    def small_star(e: DataFrame) -> DataFrame:
+    def small_star(e: DataFrame, most: float) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = to_least(down, least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
     rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     nodes = rows.select("u").union(rows.select("v")).distinct()
     now = cut(rows.where(F.col("u") != F.col("v")).distinct())
-    state = None
+    state = (now.count(), None)
     for _ in range(rounds):
-        now = cut(small_star(large_star(now).where(F.col("u") != F.col("v")).distinct()))
+        most = max(HUB_EDGES, HUB_SHARE * 2 * state[0])
+        now = cut(small_star(large_star(now, most).where(F.col("u") != F.col("v")).distinct(), most))
         total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(total) == state:
             break

@@ -32,6 +32,13 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(booksplit, "HUB_EDGES", 3)
+    edges = [("m", f"x{i}") for i in range(40)] + [(f"x{i}", f"y{i}") for i in range(0, 40, 2)] + [("z", f"y{i}") for i in range(0, 40, 4)] + [("p", "q")]
+    got = {r.node: r.component for r in booksplit.connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert {got[x] for e in edges[:-1] for x in e} == {"m"} and got["p"] == got["q"] == "p"
+
+
 def test_labels(spark):
     rows = [(f"r{i}", f"书{chr(0x4E00 + i % 150)}_人.txt") for i in range(3000)] + [(f"r{i}", f"书{chr(0x4E00 + i % 150)}·人.txt") for i in range(0, 3000, 5)] + [(f"h{i}", SAME[i % 5]) for i in range(1500)] + [("x1", None), ("x2", None), (None, SAME[0]), ("t", "书甲一_人.txt"), ("t", "书乙一_人.txt")]
     got = booksplit.grouped_split(spark.createDataFrame([(*r, "z") for r in rows], "record_id string, source_file string, label string"))
