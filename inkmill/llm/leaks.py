@@ -64,21 +64,27 @@ def suffix_order(letters: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: i
     rank = np.zeros(len(at), dtype=np.int64) if known is None else known.astype(np.int64)
     order, done = np.argsort(rank, kind="stable"), 0 if known is None else SEED
     padded = np.append(letters, np.zeros(PACK, letters.dtype)).astype(np.int64)
-    while done < depth and len(at):
-        ranks = rank[order]
-        tied = np.append(ranks[1:] == ranks[:-1], False) | np.append(False, ranks[1:] == ranks[:-1])
-        rows = order[tied]
-        rows = rows[at[rows] + done < ends[rows]] if len(rows) else rows
-        if not len(rows):
+    # Only the places of suffixes that are still tied are sorted again; a group of equals keeps its stretch of places.
+    spots, group = np.arange(len(at)), rank[order]
+    while done < depth:
+        edge = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, dtype=bool)
+        tied = ~(edge & np.append(edge[1:], True))
+        spots, group = spots[tied], np.cumsum(edge)[tied]
+        if not len(spots):
             break
-        key = np.zeros(len(at), dtype=np.int64)
+        rows = order[spots]
+        key = np.zeros(len(rows), dtype=np.int64)
         for j in range(PACK):
             place = np.minimum(at[rows] + done + j, len(letters))
-            key[rows] = key[rows] << 21 | np.where(place < ends[rows], padded[place] + 1, 0)
-        order = np.lexsort((key, rank))
-        new = np.append(True, (rank[order][1:] != rank[order][:-1]) | (key[order][1:] != key[order][:-1]))
-        rank[order] = np.cumsum(new) - 1
+            key = key << 21 | np.where(place < ends[rows], padded[place] + 1, 0)
+        by = np.lexsort((key, group))
+        order[spots] = rows[by]
+        group, key = group[by], key[by]
         done += PACK
+        # Equal ones that have ended stay equal: they go on as groups of one.
+        over = key & 0x1FFFFF == 0
+        change = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
+        group = np.where(over, -1 - np.arange(len(key)), np.cumsum(change))
     return order
 
 
