@@ -47,6 +47,7 @@ LANGUAGES = {
 }
 #: What code page 1252 shows for the bytes 80 to 9F.
 CP1252 = {bytes([b]).decode("cp1252"): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+TO_LATIN = str.maketrans({k: chr(v) for k, v in CP1252.items()})
 LATIN = {**{chr(c): c for c in range(256)}, **CP1252}
 LOST = re.compile("�|锟斤|斤拷锟|锟拷|烫烫烫|屯屯屯|â€")
 #: Bytes that are UTF-8 of two and three bytes, seen through a one-byte code page.
@@ -62,6 +63,7 @@ IN_WORD, SPACED = re.compile("[A-Za-z][㐀-鿿][a-z]|[A-Za-z]{2}[㐀-鿿][ ,.]")
 WESTERN = re.compile(r"(?:[A-Za-zÀ-ÿ’'-]{1,16}[\s.,;:!?]+){3,}")
 #: Letters that hardly any sentence of the language lacks.
 JAPANESE_COMMON, KOREAN_COMMON = "のにはをたてがでとし", "이다는을에가고의하지은도를기로"
+KANA, LATIN_WORD = re.compile("[ぁ-ヺ]"), re.compile("[A-Za-zß-ÿ]{3}")
 HANGUL, HALF_KANA = re.compile("[가-힣]"), re.compile("[｡-ﾟ]|[亜-黑].*[ァ-ヶ]")
 #: Characters that no Chinese, Japanese or Western code page shows.
 STRANGE = re.compile("[ɐ-ʯ؀-ῼⰀ-ⷿꀀ-꿿가-힣\ue000-\uf8ff﷐-﷿]|[㐀-䶵]")
@@ -71,16 +73,8 @@ UTF8_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2})+")
 def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
     """The bytes that ``codec`` showed as ``text``, and the number of characters it cannot have shown."""
     if codec == "latin":
-        out = bytearray()
-        bad = 0
-        for c in text:
-            b = LATIN.get(c)
-            if b is None:
-                bad += 1
-                out += b"?"
-            else:
-                out.append(b)
-        return bytes(out), bad
+        data = text.translate(TO_LATIN).encode("latin-1", "replace")
+        return data, data.count(b"?") - text.count("?")
     names = ("big5hkscs", "cp950") if codec == "big5" else (codec,)
     if "�" in text and not codec.startswith("utf-16"):
         # A byte that is gone stands for itself, whatever the codec would write for the replacement character.
@@ -90,6 +84,14 @@ def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
         return text.encode(names[0]), 0
     except UnicodeEncodeError:
         pass
+    if len(names) == 1:
+        mark = "?".encode(codec)
+        data = text.encode(codec, "replace")
+        return data, data.count(mark) - text.count("?")
+    # The other tables of Big5 add some signs and rare characters, no more.
+    data = text.encode(names[0], "replace")
+    if data.count(b"?") - text.count("?") > 0.4 * len(text):
+        return data, data.count(b"?") - text.count("?")
     out, bad = bytearray(), 0
     for c in text:
         for name in names:
@@ -127,10 +129,16 @@ class Model:
             d.precompute_compress(level=3)
             self.sizes.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def length(self, text: str, foreign: bool = True) -> int:
-        """Bytes of the shortest description among the languages."""
+    def length(self, text: str) -> int:
+        """Bytes of the shortest description among the languages whose letters the text has."""
         data = text.encode("utf-8", "surrogatepass")
-        tools = self.sizes if foreign else self.sizes[:1]
+        tools = self.sizes[:1]
+        if KANA.search(text):
+            tools = tools + self.sizes[4:5]
+        if HANGUL.search(text):
+            tools = tools + self.sizes[5:6]
+        if LATIN_WORD.search(text):
+            tools = tools + self.sizes[1:4]
         return min(len(t.compress(data)) for t in tools)
 
 
@@ -326,6 +334,10 @@ def islands(line: str, odd: np.ndarray, gap: int = 6) -> list[tuple[int, int]]:
     return [(int(a), int(b) + 1) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
 
 
+def oddly_spelt(text: str) -> bool:
+    return bool(IN_WORD.search(text)) or text.count(" ") >= 3 and bool(SPACED.search(text))
+
+
 def best_reading(model: Model, line: str, depth: int = 3) -> tuple[str, str]:
     """(outcome, chain) of the shortest description; the line itself and "" if no chain pays.
 
@@ -343,8 +355,6 @@ def best_reading(model: Model, line: str, depth: int = 3) -> tuple[str, str]:
                 if out in tried:
                     continue
                 tried.add(out)
-                if level + 1 == depth and not readable(model, line, out):
-                    continue
                 total = model.length(out) + cost + STEP_COST + 3 * (out.count("�") + max(0, out.count("?") - line.count("?")))
                 found.append((total, out, f"{path}|{step}" if path else step, cost + STEP_COST))
         found.sort()
@@ -370,7 +380,7 @@ def repair_line(model: Model, line: str) -> tuple[str, str] | None:
     points = code_points(line)
     odd = ~model.usual[points]
     n = int(odd.sum())
-    if IN_WORD.search(line) or SPACED.search(line):
+    if oddly_spelt(line):
         out, chain = best_reading(model, line, 1)
         if chain and not code_points(out).max() == 0xFFFD and (western(out) or HANGUL.search(out)):
             return out, chain
@@ -424,7 +434,7 @@ def restore(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
             for i, t in enumerate(texts):
                 if not t:
                     continue
-                if model.usual[code_points(t)].all() and not IN_WORD.search(t) and not SPACED.search(t):
+                if model.usual[code_points(t)].all() and not oddly_spelt(t):
                     continue
                 lines, seen = t.split("\n"), {}
                 for k, line in enumerate(lines):
