@@ -21,6 +21,8 @@ from inkmill.functions.hanfold import code_points, fold_pairs, letter_table
 from inkmill.sources.tables import spread
 
 LEVELS = (1, 2, 3, 4)
+#: Letters looked up at once.
+BLOCK = 1 << 18
 #: Bound of the labelled documents that the model is fitted on, in the order of a hash; every document is then scored.
 FIT_DOCUMENTS = 2000
 #: A word stands in this many of the labelled documents, has so many letters, and stands together so many times as often as by chance.
@@ -37,7 +39,35 @@ def stretches(letters: np.ndarray, size: int) -> np.ndarray:
     h = np.full(max(0, len(x) - size + 1), size, np.uint64)
     for j in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + len(h)] + np.uint64(1)
-    return h ^ (h >> np.uint64(29))
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class Table:
+    """A sorted table of codes with a value each; the first bits of a code say where to look."""
+
+    BITS = 20
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        # A last entry that no slot leads to ends every look-up.
+        self.codes, self.values = np.append(codes, np.uint64(0)), np.append(values, np.nan)
+        self.first = np.searchsorted(codes >> np.uint64(64 - self.BITS), np.arange((1 << self.BITS) + 1).astype(np.uint64)).astype(np.int32)
+        self.deep = int(np.diff(self.first).max())
+
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``codes`` of known ones, in order; their values)."""
+        slot = (codes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        low, high = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(low < high)
+        places, entries = [], []
+        for j in range(self.deep):
+            left = left[low[left] + j < high[left]]
+            hit = self.codes[low[left] + j] == codes[left]
+            places.append(left[hit])
+            entries.append(low[left[hit]] + j)
+            left = left[~hit]
+        at, entry = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, entries))
+        order = np.argsort(at, kind="stable")
+        return at[order], self.values[entry[order]]
 
 
 def found_at(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +98,7 @@ class Grades:
         table = letter_table(*folds)
         kept = [(table[p][table[p] > 0], lv) for p, lv in ((code_points(t), lv) for t, lv in zip(texts, levels)) if mainly_chinese(p, table)]
         self.seen = sorted({lv for _, lv in kept})
-        self.words = {q: (np.zeros(0, np.uint64), np.zeros(0)) for q in SIZES}
+        self.words = {q: Table(np.zeros(0, np.uint64), np.zeros(0)) for q in SIZES}
         self.edges = np.zeros((0, len(QUANTILES)))
         if not kept:
             self.seen = [LEVELS[1]]
@@ -77,14 +107,10 @@ class Grades:
         doc = np.repeat(np.arange(len(kept)), [len(x) for x, _ in kept])
         level = np.array([lv for _, lv in kept])
         for size, words in self.dictionary(letters, doc, min(LEAST_DOCUMENTS, len(kept))).items():
-            self.words[size] = words, self.acquisition(words, stretches(letters, size), level[doc[: max(0, len(letters) - size + 1)]])
-        labels, profiles = [], []
-        for x, lv in kept:
-            got = self.profile(x)
-            if got is not None:
-                labels.append(lv)
-                profiles.append(got)
-        labels, profiles = np.array(labels), np.array(profiles).reshape(-1, len(QUANTILES))
+            self.words[size] = Table(words, self.acquisition(words, stretches(letters, size), level[doc[: max(0, len(letters) - size + 1)]]))
+        got = self.profiles(letters, np.array([len(x) for x, _ in kept]))
+        some = [i for i, x in enumerate(got) if x is not None]
+        labels, profiles = level[some], np.array([got[i] for i in some]).reshape(-1, len(QUANTILES))
         self.seen = sorted(set(labels.tolist())) or [LEVELS[1]]
         # The median over a level's documents is robust to a rater's slip.
         centres = np.array([np.median(profiles[labels == lv], axis=0) for lv in self.seen if (labels == lv).any()]).reshape(-1, len(QUANTILES))
@@ -123,37 +149,40 @@ class Grades:
         rates[:, [i for i, lv in enumerate(LEVELS) if lv not in self.seen]] = 0
         return rates @ np.array(LEVELS, dtype=float) / rates.sum(axis=1)
 
-    def grades(self, letters: np.ndarray) -> np.ndarray:
-        """The grades of the known words: the longest one that begins at each letter, single letters only outside longer ones."""
-        out, free = np.full(len(letters), np.nan), np.ones(len(letters), dtype=bool)
+    def grades(self, letters: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(grade, text) of the known words of texts end to end: the longest one that begins at each letter, single letters only outside longer ones."""
+        out, free, begins = np.full(len(letters), np.nan), np.ones(len(letters), dtype=bool), np.zeros(len(letters), dtype=bool)
         for size in SIZES:
-            words, values = self.words[size]
-            hit, at = found_at(words, stretches(letters, size))
-            out[: len(hit)][hit] = values[at[hit]]
+            at, values = self.words[size].look_up(stretches(letters, size))
+            inside = owner[at] == owner[at + size - 1]
+            at, values = at[inside], values[inside]
+            out[at] = values
             if size > 1:
+                begins[at] = True
                 for j in range(size):
-                    free[j : j + len(hit)][hit] = False
-                longer = hit if size == SIZES[1] else np.append(longer[: len(hit)] | hit, longer[len(hit) :])
-        out[: len(longer)][~longer & ~free[: len(longer)]] = np.nan
-        out[len(longer) :][~free[len(longer) :]] = np.nan
-        return out[~np.isnan(out)]
-
-    def profile(self, letters: np.ndarray) -> np.ndarray | None:
-        """Quantiles of the known words' grades; None without a known word."""
-        g = self.grades(letters)
-        if not len(g):
-            return None
-        at = (np.array(QUANTILES) * (len(g) - 1)).round().astype(int)
-        g.partition(np.unique(at))
-        return g[at]
-
-    def level(self, letters: np.ndarray) -> int:
-        """The level that most quantiles name, the lower one between two; the middle of the levels without a known word."""
-        got = self.profile(letters)
-        if got is None:
-            return int(self.seen[(len(self.seen) - 1) // 2])
-        votes = np.bincount((got > self.edges).sum(axis=0), minlength=len(self.seen))
-        return int(self.seen[int(votes.argmax())])
+                    free[at + j] = False
+        known = np.flatnonzero(~np.isnan(out) & (begins | free))
+        return out[known], owner[known]
+
+    def profiles(self, letters: np.ndarray, sizes: np.ndarray) -> list[np.ndarray | None]:
+        """Quantiles of the known words' grades of each text, ``sizes`` letters each; None without a known word."""
+        grades, owner = self.grades(letters, np.repeat(np.arange(len(sizes)), sizes))
+        edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        share, out = np.array(QUANTILES), []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            out.append(np.sort(grades[a:b])[(share * (b - a - 1)).round().astype(np.int64)] if b > a else None)
+        return out
+
+    def levels(self, letters: np.ndarray, sizes: np.ndarray) -> list[int]:
+        """The level that most quantiles of each text name, the lower one between two; the middle of the levels without a known word."""
+        out = []
+        for got in self.profiles(letters, sizes):
+            if got is None:
+                out.append(int(self.seen[(len(self.seen) - 1) // 2]))
+            else:
+                votes = np.bincount((got > self.edges).sum(axis=0), minlength=len(self.seen))
+                out.append(int(self.seen[int(votes.argmax())]))
+        return out
 
 
 def labelled(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = FIT_DOCUMENTS) -> list[tuple[str, int]]:
@@ -181,14 +210,22 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
         model, folds = shared.value
         table = letter_table(*folds)
         for batch in batches:
-            keys, at, out = batch.column(0), [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                points = code_points(t)
-                if mainly_chinese(points, table):
-                    letters = table[points]
-                    at.append(i)
-                    out.append(model.level(letters[letters > 0]))
-            if at:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(out, pa.int32())], names=[key, "level"])
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
+                    size += len(texts[end])
+                    end += 1
+                chosen, parts = [], []
+                for i in range(at, end):
+                    points = code_points(texts[i])
+                    if mainly_chinese(points, table):
+                        letters = table[points]
+                        chosen.append(i)
+                        parts.append(letters[letters > 0])
+                if chosen:
+                    levels = model.levels(np.concatenate(parts), np.array([len(x) for x in parts]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.array(levels, pa.int32())], names=[key, "level"])
+                at = end
 
     return spread(documents.select(key, text).where(F.length(text) > 0)).mapInArrow(run, f"`{key}` {kind}, level int")

@@ -35,13 +35,23 @@ def test_dictionary_grades_and_quantiles():
     texts, levels = [text(1 + i % 4) for i in range(80)], [1 + i % 4 for i in range(80)]
     model = grades.Grades(texts, levels, ("", ""))
     points = lambda t: np.array([ord(c) for c in t], np.uint32)
-    assert len(model.words[2][0]) >= 12 and model.edges.shape == (3, len(grades.QUANTILES))
-    assert model.grades(points("小狗")).tolist()[0] < 1.3 and model.grades(points("饕餮"))[0] > 3.7
-    assert (np.diff(model.edges, axis=0) > 0).all()
-    assert model.level(points(text(1, 120) + text(4, 80))) == 1 and model.level(points(text(4, 120) + text(1, 80))) == 4
-    assert model.profile(points("龘")) is None and model.level(points("龘")) == 2
-    assert grades.Grades([], [], ("", "")).level(points("狗牛")) == 2
-    assert grades.Grades(["狗"], [3], ("", "")).level(points("狗牛")) in (2, 3)
+    level = lambda m, t: m.levels(points(t), np.array([len(t)]))[0]
+    grade = lambda t: model.grades(points(t), np.zeros(len(t), int))[0].tolist()
+    assert len(model.words[2].codes) > 12 and model.edges.shape == (3, len(grades.QUANTILES)) and (np.diff(model.edges, axis=0) > 0).all()
+    assert grade("小狗")[0] < 1.3 and grade("饕餮")[0] > 3.7 and grade("龘") == []
+    assert level(model, text(1, 120) + text(4, 80)) == 1 and level(model, text(4, 120) + text(1, 80)) == 4 and level(model, "龘") == 2
+    both = [text(1, 50), "龘", "", text(3, 50)]
+    assert model.levels(points("".join(both)), np.array([len(x) for x in both])) == [1, 2, 2, 3]
+    assert level(grades.Grades([], [], ("", "")), "狗牛") == 2 and level(grades.Grades(["狗"], [3], ("", "")), "狗牛") in (2, 3)
+
+
+def test_table_against_a_dictionary():
+    np = grades.np
+    codes = np.unique(np.array([RANDOM.getrandbits(64) if RANDOM.random() < 0.5 else RANDOM.getrandbits(20) for _ in range(5000)], np.uint64))
+    table, own = grades.Table(codes, np.arange(len(codes)).astype(float)), {int(c): i for i, c in enumerate(codes)}
+    asked = np.array([*codes[::3], *(RANDOM.getrandbits(64) for _ in range(500)), 0, 1, 2**64 - 1], np.uint64)
+    at, values = table.look_up(asked)
+    assert dict(zip(at.tolist(), values.tolist())) == {i: own[int(c)] for i, c in enumerate(asked) if int(c) in own}
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
