@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.functions import rules, text
-from inkmill.operators import chat, metrics, records
+from inkmill.operators import chat, enrich, metrics, records, sequential
 from inkmill.plans import pipelines
 from inkmill.sources import files, sinks
 from inkmill.sources.tables import ship_package
@@ -45,7 +45,34 @@ def evaluate(spark, a) -> DataFrame:
     return metrics.evaluation_summary(rows.withColumn("rouge_l", metrics.rouge_l(F.col("expected"), text.short_reply(F.col("generated")))))
 
 
+def enriched(spark, a) -> DataFrame:
+    """Records with the answer of the generator that ``--config`` names; keys that ``--done`` has are skipped, ``--count`` bounds the answers."""
+    rows = files.json_lines(spark, a.input, CHUNK, strict=False)
+    rows = rows.where(~F.col("author").eqNullSafe(a.without_author)) if a.without_author else rows
+    done = files.json_lines(spark, a.done, "id string", strict=False) if a.done else rows.select("id").limit(0)
+    policy = enrich.Policy(threads=a.workers, throttle=a.throttle)
+    made = enrich.enrich_rest(rows, done, "id", "text", lambda: enrich.HttpClient.from_config(a.config, a.system), a.count, "vernacular_text", policy)
+    return made.withColumnRenamed("text", "wuxia_text")
+
+
+def tokenizer(a):
+    """Encode a list of texts, by the tokenizer file that ``--tokenizer`` names; None for characters."""
+    if not a.tokenizer:
+        return None
+    one = sequential.library_tokenizer(a.tokenizer)[0]
+    return lambda texts: [one(t) for t in texts]
+
+
+def styles(a) -> dict[str, str]:
+    return dict(x.split("=", 1) for x in a.style)
+
+
 COMMANDS = {
+    "transcode": lambda s, a: pipelines.transcoded(_raw(s, a.input)).select("path", "encoding", F.decode("content", F.lit("UTF-8")).alias("text")),
+    "stage-two": lambda s, a: pipelines.stage_two(files.json_lines(s, a.input, records.COMBINED, strict=False), styles(a), pipelines.style_quotas(a.count or 6000, {k: float(a.share[i]) if i < len(a.share) else 1 / len(a.style) for i, k in enumerate(styles(a))}), a.seed),
+    "enrich": enriched,
+    "mask": lambda s, a: pipelines.masked_corpus(files.json_lines(s, a.input, SAMPLE, strict=False), a.block_length, encode=tokenizer(a), soft=a.soft_share),
+    "pack": lambda s, a: pipelines.packed_corpus(files.json_lines(s, a.input, "doc bigint, text string", strict=False), a.block_length, encode=tokenizer(a)),
     "decode": lambda s, a: pipelines.decoded_files(_raw(s, a.input)),
     "chunks": lambda s, a: pipelines.corpus_chunks(_raw(s, a.input), a.chunk_size),
     "budget-chunks": lambda s, a: pipelines.budget_corpus(_raw(s, a.input), a.prefix, a.chunk_size),
@@ -78,6 +105,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-length", type=int, default=1500)
     p.add_argument("--count", type=int, default=0)
     p.add_argument("--system", default=chat.SYSTEMS[0])
+    p.add_argument("--config", help="JSON file with the settings of the generator")
+    p.add_argument("--done", default="")
+    p.add_argument("--without-author", default="")
+    p.add_argument("--workers", type=int, default=10)
+    p.add_argument("--throttle", type=float, default=0.0)
+    p.add_argument("--style", action="append", default=[], metavar="NAME=PATTERN")
+    p.add_argument("--share", action="append", default=[])
+    p.add_argument("--tokenizer", default="")
+    p.add_argument("--block-length", type=int, default=1024)
+    p.add_argument("--soft-share", type=float, default=0.0)
     for name, n in (("train-polish", 6500), ("train-adversarial", 800), ("train-summary", 700), ("test-standard", 600), ("test-stress", 200), ("test-adversarial", 200), ("seed", 42)):
         p.add_argument(f"--{name}", type=int, default=n)
     p.add_argument("--system-annealing-ratio", type=float, default=0.125)

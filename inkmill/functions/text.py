@@ -164,11 +164,12 @@ def clean_reply(text: Column) -> Column:
     out = strip(F.when(F.contains(text, F.lit(marker)), cut).otherwise(text))
     for p in POLITE:
         out = F.when(F.startswith(out, F.lit(p)), strip(F.substring(out, len(p) + 1, 1 << 30))).otherwise(out)
-    return F.array_join(F.filter(lines(out), lambda x: ~strip(x).isin("", "```", "```python", "Assistant:", "assistant:")), "\n")
+    return F.array_join(F.filter(lines(out), lambda x: ~strip(x).isin(*FENCES)), "\n")
 
 
-#: Openings that a chat model puts before its answer.
+#: Openings that a chat model puts before its answer, and lines of which nothing is kept.
 POLITE = ["好的，请稍候片刻。", "好的，", "```python", "```", "Assistant:", "assistant:"]
+FENCES = ["", "```", "```python", "Assistant:", "assistant:"]
 
 
 def short_reply(text: Column) -> Column:

@@ -14,6 +14,8 @@ ECHO = ["原样照录：\n{text}", "{text}\n\n一字不改，再说一遍。"]
 SUMMARY = ["说说大意：\n{text}", "{text}\n\n用一两句话概括。"]
 STRESS = ["改雅：\n{text}", "{text}\n（润色）"]
 SYSTEMS = ["你是一位熟悉旧小说的编辑。", "你替人润色文字，不改情节。"]
+#: System turns of annealed samples: a short one and an empty one.
+QUIET_SYSTEMS = ["润色。", ""]
 
 
 def messages(*turns: tuple[str, Column]) -> Column:
@@ -33,6 +35,14 @@ def unified(conversations: Column, role: str = "role", content: str = "content")
     return F.transform(conversations, one)
 
 
+def unified_column(df: DataFrame, name: str = "conversations") -> Column:
+    """``unified`` where turns may have both pairs of field names: each turn says what it says in either."""
+    fields = {f.name for f in df.schema[name].dataType.elementType.fields}
+    either = lambda m, names: F.coalesce(*[m[n] for n in names if n in fields])
+    turns = F.transform(F.col(name), lambda m: F.struct(either(m, ("role", "from")).alias("role"), either(m, ("content", "value")).alias("content")))
+    return unified(turns)
+
+
 def chat_prompt(turns: Column) -> Column:
     """All turns but the assistant's in chat markup, the assistant's turn opened."""
     shown = F.transform(F.filter(turns, lambda m: m["role"] != "assistant"), lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>")))

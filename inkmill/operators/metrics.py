@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import lines
@@ -87,10 +87,10 @@ def extremes(df: DataFrame, score: str, key: str, n: int = 3) -> DataFrame:
     return top.unionByName(df.orderBy(F.asc(score), key).limit(n).withColumn("side", F.lit("worst")))
 
 
-def loss_summary(df: DataFrame, step: str, loss: str) -> DataFrame:
-    """(steps, least, last, first, delta) of a loss history; nulls for an empty one."""
+def loss_summary(df: DataFrame, step: str, loss: str, groups: list[str] = ()) -> DataFrame:
+    """(groups, steps, least, last, first, delta) of loss histories; nulls for an empty one."""
     last, first = F.max_by(loss, step), F.min_by(loss, step)
-    return df.agg(F.count("*").alias("steps"), F.min(loss).alias("least"), last.alias("last"), first.alias("first"), (last - first).alias("delta"))
+    return df.groupBy(*groups).agg(F.count("*").alias("steps"), F.min(loss).alias("least"), last.alias("last"), first.alias("first"), (last - first).alias("delta"))
 
 
 def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
@@ -100,7 +100,3 @@ def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
 
 def by_author(df: DataFrame, author: str = "author") -> DataFrame:
     return df.groupBy(author).agg(F.count("*").alias("records"))
-
-
-def window_total(df: DataFrame, value: str) -> Column:
-    return F.sum(value).over(Window.partitionBy(F.lit(0)))

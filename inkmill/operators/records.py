@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,11 +88,17 @@ def shift_quotes(df: DataFrame, group: str, seq: str, text: str = "text", least:
 
 
 def unique_names(df: DataFrame, path: str = "path") -> DataFrame:
-    """(path, name): file names made unique by ``_1``, ``_2`` … before the suffix, in the order of paths."""
+    """(path, name): file names made unique by ``_1``, ``_2`` … before the suffix, in the order of paths.
+
+    A name that a third of all folders hold is counted in buckets by the first signs in which paths differ.
+    """
     base = F.regexp_replace(path, r"^.*[/\\]", "")
-    stem, suffix = F.regexp_replace(base, r"\.[^.]*$", ""), F.regexp_extract(base, r"\.[^.]*$", 0)
-    n = F.row_number().over(Window.partitionBy(base).orderBy(path)) - 1
-    return df.select(path, F.when(n == 0, base).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)).alias("name"))
+    stem, suffix = F.regexp_replace("_base", r"\.[^.]*$", ""), F.regexp_extract("_base", r"\.[^.]*$", 0)
+    ends = df.agg(F.min(path), F.max(path)).head()
+    alike = len(os.path.commonprefix([x or "" for x in ends]))
+    rows = position(df.select(path, base.alias("_base")), [F.col(path)], F.substring(path, 1, alike + 3), ["_base"], "_n")
+    n = F.col("_n") - 1
+    return rows.select(path, F.when(n == 0, F.col("_base")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)).alias("name"))
 
 
 def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:

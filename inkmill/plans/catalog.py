@@ -16,6 +16,7 @@ from inkmill.functions import rules, text
 from inkmill.functions.hanfold import to_simplified
 from inkmill.operators import chat, chunking, enrich, metrics, ranking, records, sequential, training
 from inkmill.plans import pipelines
+from inkmill.plans.lineage import shared_folder
 from inkmill.sources import files, sinks
 from inkmill.sources.tables import read_table, ship_package, spread
 from inkmill.streaming import jobs
@@ -126,20 +127,26 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk id, with its number in the file as ``seq``."""
-    rows = read_table(spark, d, "chunks").groupBy("id").agg(F.min("author").alias("author"), F.min("source_file").alias("source_file"), F.min("text").alias("text"))
+    """One delivery per chunk id (the least row), with its number in the file as ``seq``."""
+    rows = read_table(spark, d, "chunks").groupBy("id").agg(F.min(F.struct("author", "source_file", "text")).alias("r")).select("id", "r.*")
     return rows.withColumn("seq", F.regexp_extract("id", "_([0-9]+)$", 1).try_cast("bigint"))
 
 
-_CHUNKS = "c AS (SELECT id, min(author) AS author, min(source_file) AS source_file, min(text) AS text, TRY_CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) AS seq FROM chunks GROUP BY id)"
+_CHUNKS = "c AS (SELECT id, author, source_file, text, TRY_CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) AS seq FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY author NULLS FIRST, source_file NULLS FIRST, text NULLS FIRST) = 1)"
+#: The book of a chunk: its file, or what its id says before the number where no file is named.
+_BOOK = "coalesce(source_file, regexp_replace(id, '_[0-9]+$', ''))"
+
+
+def _books(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source_file", F.coalesce("source_file", F.regexp_replace("id", "_[0-9]+$", "")))
 
 
 def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "style_pairs").groupBy("id").agg(F.min("wuxia_text").alias("styled"), F.min("vernacular_text").alias("plain"))
+    rows = read_table(spark, d, "style_pairs").groupBy("id").agg(F.min(F.struct(F.col("wuxia_text").alias("styled"), F.col("vernacular_text").alias("plain"))).alias("r")).select("id", "r.*")
     return rows.where((text.strip(F.col("styled")) != "") & (text.strip(F.col("plain")) != ""))
 
 
-_PAIRS = f"p AS (SELECT * FROM (SELECT id, min(wuxia_text) AS styled, min(vernacular_text) AS plain FROM style_pairs GROUP BY id) WHERE {_strip('styled')} <> '' AND {_strip('plain')} <> '')"
+_PAIRS = f"p AS (SELECT * FROM (SELECT id, wuxia_text AS styled, vernacular_text AS plain FROM style_pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY wuxia_text NULLS FIRST, vernacular_text NULLS FIRST) = 1) WHERE {_strip('styled')} <> '' AND {_strip('plain')} <> '')"
 
 
 def _turn_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -256,9 +263,8 @@ def line_pipeline(spark, d):
 @query("""SELECT 'doc_' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '_' || lpad(CAST(i - 1 AS VARCHAR), 5, '0') AS id, md5(x) AS md5 FROM (SELECT doc_id, i, """ + _strip("x") + """ AS x FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))) WHERE length(x) >= 10""")
 def chunk_ids(spark, d):
-    rows = read_table(spark, d, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "x"))
-    rows = rows.select(F.format_string("doc_%07d_%05d", "doc_id", "i").alias("id"), text.strip(F.col("x")).alias("x"))
-    return rows.where(F.length("x") >= 10).select("id", F.md5("x").alias("md5"))
+    rows = sinks.chunk_records(read_table(spark, d, "documents"), text.lines(F.col("text")), F.format_string("doc_%07d", "doc_id"))
+    return rows.select("id", F.md5("chunk").alias("md5"))
 
 
 # -- cleaning -------------------------------------------------------------------------------------------------------
@@ -360,9 +366,15 @@ def length_band(spark, d):
     return _chunk_rows(spark, d).select("id", F.length("text").cast("bigint").alias("original_length"), n.alias("cleaned_length")).where(F.col("cleaned_length").between(500, 1500))
 
 
-@query()
+#: Escaped texts and what they say: named, decimal and hexadecimal, without a semicolon, a line feed, an escaped escape, no entity.
+ENTITY_FIXTURE = [("&lt;甲&gt;&amp;&quot;&#39;", "<甲>&\"'"), ("&#20057;&#x4E59;", "乙乙"), ("&lt甲&copy", "<甲©"), ("&#10;行", "\n行"), ("&amp;lt;", "&lt;"), ("A & B &无;", "A & B &无;"), ("&hellip;&mdash;&ldquo;&rdquo;", "…—“”")]
+
+
+@query("SELECT DISTINCT id, md5(replace(text, '&nbsp;', chr(160))) AS md5 FROM chunks WHERE contains(text, '&') AND NOT regexp_matches(replace(text, '&nbsp;', ''), '&#?[0-9a-zA-Z]+') UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{i}', md5('{_q(b)}'))" for i, (_, b) in enumerate(ENTITY_FIXTURE)) + ") v(id, md5)")
 def html_unescape(spark, d):
-    return spread(read_table(spark, d, "chunks").select("id", "text").distinct()).where(F.contains("text", F.lit("&"))).select("id", F.md5(text.html_unescape(F.col("text"))).alias("md5"))
+    rows = read_table(spark, d, "chunks").select("id", "text").distinct().where(F.contains("text", F.lit("&")))
+    rows = rows.union(spark.createDataFrame([(str(i), a) for i, (a, _) in enumerate(ENTITY_FIXTURE)], "id string, text string"))
+    return rows.select("id", F.md5(text.html_unescape(F.col("text"))).alias("md5"))
 
 
 @query()
@@ -382,20 +394,25 @@ def decode_fallback(spark, d):
 _Q = records.REPAIR_QUOTES.replace("'", "''")
 
 
-@query(f"""WITH {_CHUNKS}, f AS (SELECT source_file, min(seq) AS first FROM c WHERE length({_strip('text')}) >= 5 GROUP BY 1),
+def _shifted(book: str, body: str) -> str:
+    return f"""WITH {_CHUNKS.replace("c AS (", "b AS (", 1)}, c AS (SELECT id, {book} AS source_file, seq, {body} AS text FROM b),
+    f AS (SELECT source_file, min(seq) AS first FROM c WHERE length({_strip('text')}) >= 5 GROUP BY 1),
     m AS (SELECT c.id, c.source_file, c.seq, c.text, CASE WHEN c.seq > f.first THEN regexp_extract(c.text, '^{text.WS}*(?:[{_Q}]{text.WS}*)+') ELSE '' END AS moved FROM c JOIN f ON c.source_file = f.source_file WHERE c.seq >= f.first AND c.text IS NOT NULL),
     r AS (SELECT *, substr(text, length(moved) + 1) AS rest, length({_strip('substr(text, length(moved) + 1)')}) >= 5 AS keep FROM m),
     t AS (SELECT *, max(CASE WHEN keep THEN seq END) OVER (PARTITION BY source_file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM r),
     g AS (SELECT source_file, target, string_agg(regexp_replace(moved, '{text.WS}', '', 'g'), '' ORDER BY seq) AS given FROM t WHERE moved <> '' AND target IS NOT NULL GROUP BY 1, 2)
-    SELECT t.id, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t LEFT JOIN g ON g.source_file = t.source_file AND g.target = t.seq WHERE t.keep""")
+    SELECT t.id, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t LEFT JOIN g ON g.source_file = t.source_file AND g.target = t.seq WHERE t.keep"""
+
+
+@query(_shifted(_BOOK, "text"))
 def quote_shift(spark, d):
-    return records.shift_quotes(_chunk_rows(spark, d).where("source_file is not null"), "source_file", "seq").select("id", F.md5("text").alias("md5"))
+    return records.shift_quotes(_books(_chunk_rows(spark, d)), "source_file", "seq").select("id", F.md5("text").alias("md5"))
 
 
-@query(f"""WITH {_CHUNKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY source_file ORDER BY seq, id) - 1) // 3 AS part FROM c WHERE source_file IS NOT NULL)
+@query(f"""WITH {_CHUNKS}, n AS (SELECT * REPLACE ({_BOOK} AS source_file), (row_number() OVER (PARTITION BY {_BOOK} ORDER BY seq, id) - 1) // 3 AS part FROM c)
     SELECT source_file, CAST(part AS BIGINT) AS part, count(*) AS merged_count, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY seq, id) FILTER (text <> ''), '')) AS md5, string_agg(id, '|' ORDER BY seq, id) AS ids FROM n GROUP BY 1, 2""")
 def merge_every_n(spark, d):
-    rows = _chunk_rows(spark, d).where("source_file is not null").withColumn("book", F.col("source_file"))
+    rows = _books(_chunk_rows(spark, d)).withColumn("book", F.col("source_file"))
     out = records.merge_every(rows, 3, "book", "seq", F.lit("part"))
     return out.select(F.col("book").alias("source_file"), "part", F.col("merged_count").cast("bigint").alias("merged_count"), F.md5("text").alias("md5"), F.array_join("merged_from", "|").alias("ids"))
 
@@ -431,7 +448,8 @@ def classify_source(spark, d):
     return rows.select("id", rules.first_match(F.concat(F.coalesce("dataset", F.lit("")), F.lit(" "), F.coalesce("source_file", F.lit(""))), STYLES).alias("style")).distinct()
 
 
-QUOTAS = {"serial": 60, "volumes": 45, "scans": 22, "hall": 22}
+#: Production sizes; a style with fewer sound records is taken whole.
+QUOTAS = {"serial": 2400, "volumes": 1800, "scans": 900, "hall": 900}
 _QUOTA = "CASE style " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTAS.items()) + " END"
 
 
@@ -499,7 +517,8 @@ def stage_two_samples(spark, d):
     rows = chat.styled_metadata(_pair_rows(spark, d), "id", "plain", "styled", F.lit("wuxia"))
     m = F.col("conversations")
     joined = F.concat_ws("|", m[0]["value"], m[1]["value"], m[2]["value"])
-    return rows.select("id", F.col("metadata.plain_length").cast("bigint").alias("plain_length"), F.col("metadata.styled_length").cast("bigint").alias("styled_length"), F.md5(joined).alias("md5"), F.round(F.col("metadata.styled_length") / F.col("metadata.plain_length"), 6).alias("ratio"))
+    rows = rows.select("id", m[1]["value"].alias("plain"), m[2]["value"].alias("styled"), F.col("metadata.plain_length").cast("bigint").alias("plain_length"), F.col("metadata.styled_length").cast("bigint").alias("styled_length"), F.md5(joined).alias("md5"))
+    return enrich.length_ratio(rows, "plain", "styled").drop("plain", "styled")
 
 
 # -- chat -----------------------------------------------------------------------------------------------------------
@@ -542,14 +561,25 @@ def assistant_clean(spark, d):
 
 #: Invented replies.
 REPLIES = ["<|im_start|>user\n你好<|im_end|>\n<|im_start|>assistant\n好的，天色已晚。<|im_end|>", "<|im_start|>assistant\n风起。<|im_end|>余下<|endoftext|>", "```python\n雨歇。\n```", "好的，请稍候片刻。好的，月出。", "  平常一句。  ", "Assistant: 一\n\n```\n二", "<|im_start|>assistant\n甲<|im_end|>乙<|im_start|>assistant\n丙<|endoftext|>丁"]
-REPLIES_CLEAN = ["天色已晚。", "风起。", "雨歇。", "月出。", "平常一句。", "一\n二", "丙"]
-REPLIES_SHORT = ["<|im_start|>user\n你好", "<|im_start|>assistant\n风起。", "```python\n雨歇。\n```", "好的，请稍候片刻。好的，月出。", "平常一句。", "Assistant: 一\n\n```\n二", "<|im_start|>assistant\n甲"]
+_START = "'<|im_start|>assistant' || chr(10)"
+_STEPS = ", ".join(f"s{k + 1} AS (SELECT id, raw, CASE WHEN starts_with(x, '{p}') THEN {_strip(f'substr(x, {len(p) + 1})')} ELSE x END AS x FROM s{k})" for k, p in enumerate(text.POLITE))
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, c AS cleaned, s AS short FROM (VALUES " + ", ".join(f"({i}, '{c}', '{s}')" for i, (c, s) in enumerate(zip(REPLIES_CLEAN, REPLIES_SHORT))) + ") v(i, c, s)")
+@query(f"""WITH {_TURNS}, y AS (SELECT DISTINCT record_id AS id, {_LAST} AS x FROM t),
+    r AS (SELECT id, CASE {_number('42r', 'id')} % 4 WHEN 0 THEN '<|im_start|>user' || chr(10) || '问<|im_end|>' || chr(10) || {_START} || x || '<|im_end|>尾' WHEN 1 THEN '好的，请稍候片刻。好的，' || x || '<|endoftext|>余'
+        WHEN 2 THEN '```python' || chr(10) || x || chr(10) || '```' ELSE {_START} || 'Assistant: ' || x || '<|im_end|><|im_end|>' END AS raw FROM y WHERE x IS NOT NULL UNION ALL SELECT * FROM (VALUES {", ".join(f"('{i}', '{x}')" for i, x in enumerate(REPLIES))}) v(id, raw)),
+    a AS (SELECT id, raw, list_extract(string_split(raw, {_START}), -1) AS tail, contains(raw, {_START}) AS marked FROM r),
+    s0 AS (SELECT id, raw, {_strip("CASE WHEN marked THEN list_extract(string_split(CASE WHEN contains(tail, '<|im_end|>') THEN regexp_replace(tail, '(?s)^(.*)<[|]im_end[|]>.*$', '\\1') ELSE tail END, '<|endoftext|>'), 1) ELSE raw END")} AS x FROM a), {_STEPS}
+    SELECT id, md5(array_to_string(list_filter({_split('x')}, lambda l: {_strip('l')} NOT IN ('', '```', '```python', 'Assistant:', 'assistant:')), chr(10))) AS cleaned_md5, md5({_strip("list_extract(string_split(raw, '<|im_end|>'), 1)")}) AS short_md5 FROM s{len(text.POLITE)}""")
 def reply_cleanup(spark, d):
-    rows = spark.createDataFrame(list(enumerate(REPLIES)), "id bigint, raw string")
-    return rows.select("id", text.clean_reply(F.col("raw")).alias("cleaned"), text.short_reply(F.col("raw")).alias("short"))
+    """Answers of the table as a generator may return them, and invented replies."""
+    x = F.try_element_at(F.filter("turns", lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
+    rows = _turn_rows(spark, d).select(F.col("record_id").alias("id"), x.alias("x")).where("x is not null").distinct()
+    kind, start = ranking.hash_number("42r", F.col("id")) % 4, F.lit("<|im_start|>assistant\n")
+    raw = F.when(kind == 0, F.concat(F.lit("<|im_start|>user\n问<|im_end|>\n"), start, "x", F.lit("<|im_end|>尾"))).when(kind == 1, F.concat(F.lit("好的，请稍候片刻。好的，"), "x", F.lit("<|endoftext|>余")))
+    raw = raw.when(kind == 2, F.concat(F.lit("```python\n"), "x", F.lit("\n```"))).otherwise(F.concat(start, F.lit("Assistant: "), "x", F.lit("<|im_end|><|im_end|>")))
+    rows = rows.select("id", raw.alias("raw")).union(spark.createDataFrame([(str(i), x) for i, x in enumerate(REPLIES)], "id string, raw string"))
+    return rows.select("id", F.md5(text.clean_reply(F.col("raw"))).alias("cleaned_md5"), F.md5(text.short_reply(F.col("raw"))).alias("short_md5"))
 
 
 _PREFIXES = ["请将白话改作带古意的叙述——\n", "读者嫌它口水，请修得凝练些：\n"]
@@ -673,10 +703,9 @@ def top_bottom_k(spark, d):
     return metrics.extremes(spark.createDataFrame(list(enumerate(SCORES)), "id bigint, rouge_l double"), "rouge_l", "id")
 
 
-@query("SELECT event_type, count(*) AS steps, min(value) AS least, max_by(value, event_id) AS last, min_by(value, event_id) AS first FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS steps, min(value) AS least, max_by(value, event_id) AS last, min_by(value, event_id) AS first, max_by(value, event_id) - min_by(value, event_id) AS delta FROM events GROUP BY event_type")
 def loss_history(spark, d):
-    rows = read_table(spark, d, "events")
-    return rows.groupBy("event_type").agg(F.count("*").alias("steps"), F.min("value").alias("least"), F.max_by("value", "event_id").alias("last"), F.min_by("value", "event_id").alias("first"))
+    return metrics.loss_summary(read_table(spark, d, "events"), "event_id", "value", ["event_type"])
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 50 = 0 AND event_id > 0")
@@ -689,9 +718,13 @@ def step_estimate(spark, d):
     return read_table(spark, d, "training_samples").agg(F.count("*").alias("n")).select("n", training.step_estimate(F.col("n"), 16, 8).alias("steps"))
 
 
-@query(f"WITH {_CHUNKS} SELECT id, seq FROM c ORDER BY source_file NULLS FIRST, seq, id LIMIT 300")
+@query(f"WITH {_CHUNKS} SELECT id, md5(text) AS md5 FROM c ORDER BY {_BOOK}, seq, id LIMIT 300")
 def shard_limit(spark, d):
-    return records.first_rows(_chunk_rows(spark, d), [F.asc_nulls_first("source_file"), "seq", "id"], 300).select("id", "seq")
+    """The table written as JSON shards in one order and read back in it, up to a cap."""
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    rows = _books(_chunk_rows(spark, d)).orderBy("source_file", "seq", "id").select("id", "text")
+    sinks.write_json_lines(rows, folder)
+    return files.ordered_shards(spark, f"{folder}/*.json", "id string, text string", 300).select("id", F.md5("text").alias("md5"))
 
 
 # -- names and sources ----------------------------------------------------------------------------------------------
@@ -720,17 +753,30 @@ def author_from_name(spark, d):
 PATHS = ["a/甲.txt", "b/甲.txt", "c/甲.txt", "a/乙.txt", "b/丙.TXT", "丙.TXT"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{n}')" for p, n in zip(PATHS, ["甲.txt", "甲_1.txt", "甲_2.txt", "乙.txt", "丙.TXT", "丙_1.TXT"])) + ") v(path, name)")
+_PATHS = "SELECT path FROM raw_files WHERE path IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") v(path)"
+
+
+@query(f"""WITH p AS ({_PATHS}), b AS (SELECT path, regexp_replace(path, '^.*[/\\\\]', '') AS base FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) - 1 AS n FROM b)
+    SELECT path, CASE WHEN n = 0 THEN base ELSE regexp_replace(base, '\\.[^.]*$', '') || '_' || n || regexp_extract(base, '\\.[^.]*$') END AS name FROM n""")
 def dedup_names(spark, d):
-    return records.unique_names(spark.createDataFrame([(p,) for p in PATHS], "path string"))
+    return records.unique_names(read_table(spark, d, "raw_files").select("path").where("path is not null").union(spark.createDataFrame([(p,) for p in PATHS], "path string")))
 
 
 PROMPT_LINES = ['{"system": "旧体", "user": "写一句"}', '{"system": "", "user": "再写"}', '{"user": "无系统"}', " 直说 ", "", "{坏的"]
 
 
-@query("SELECT * FROM (VALUES ('旧体', '写一句'), ('默认', '再写'), ('默认', '无系统'), ('默认', '直说'), ('默认', '{坏的')) v(system, \"user\")")
+#: Records of the table as prompt lines: by hash some as JSON with both keys, some with the user's text alone, some as plain text.
+_PROMPTED = f"""SELECT CASE {_number('42p', 'id')} % 3 WHEN 0 THEN CAST(to_json(struct_pack(system := author, "user" := text)) AS VARCHAR) WHEN 1 THEN CAST(to_json(struct_pack("user" := text)) AS VARCHAR) ELSE text END AS value FROM combined_records
+    UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"('{p}')" for p in PROMPT_LINES) + ") v(value)"
+
+
+@query(f"""WITH v AS ({_PROMPTED}), j AS (SELECT {_strip('value')} AS value, CASE WHEN starts_with({_strip('value')}, '{{') AND json_valid(value) THEN value END AS o FROM v WHERE {_strip('value')} <> '')
+    SELECT coalesce(CASE WHEN o IS NOT NULL AND o ->> '$.user' IS NOT NULL THEN nullif(o ->> '$.system', '') END, '默认') AS system, md5(CASE WHEN o IS NOT NULL AND o ->> '$.user' IS NOT NULL THEN o ->> '$.user' ELSE value END) AS user_md5 FROM j""")
 def prompt_lines(spark, d):
-    return files.prompts(spark.createDataFrame([(p,) for p in PROMPT_LINES], "value string"), "默认")
+    kind = ranking.hash_number("42p", F.col("id")) % 3
+    lines = read_table(spark, d, "combined_records").select(F.when(kind == 0, F.to_json(F.struct(F.col("author").alias("system"), F.col("text").alias("user")))).when(kind == 1, F.to_json(F.struct(F.col("text").alias("user")))).otherwise(F.col("text")).alias("value"))
+    rows = files.prompts(lines.union(spark.createDataFrame([(p,) for p in PROMPT_LINES], "value string")), "默认")
+    return rows.select("system", F.md5("user").alias("user_md5"))
 
 
 @query("SELECT DISTINCT coalesce(nullif(regexp_replace(" + _strip("coalesce(author, '')") + ", '[/\\\\]', '_', 'g'), ''), 'unknown') AS folder FROM chunks")
@@ -776,26 +822,24 @@ def raw_book_chunks(spark, d):
     return pipelines.book_chunks(spread(read_table(spark, d, "raw_files"))).select("_id", "source", "author", "length")
 
 
-@query(f"""WITH s AS (SELECT id, min({_STYLE}) AS style, min(text) AS text FROM combined_records GROUP BY id),
+@query(f"""WITH s AS (SELECT id, {_STYLE} AS style, text FROM combined_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY dataset NULLS FIRST, source_file NULLS FIRST, text NULLS FIRST) = 1),
     v AS (SELECT * FROM s WHERE style IS NOT NULL AND text IS NOT NULL AND length({_strip('text')}) >= 100 AND NOT regexp_matches(text, '{_q(_BAD)}') AND len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) >= 0.7 * length(text)),
     r AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY {_hash('42', 'id')}, id) AS n FROM v),
     k AS (SELECT id, style, text, left(array_to_string(list_transform(list_filter(list_zip(l, range(0, len(l))), lambda z: z[2] % 3 = 0), lambda z: z[1]), '。'), 300) AS plain FROM (SELECT *, regexp_split_to_array(text, '[。！？]') AS l FROM r WHERE n <= {_QUOTA}))
     SELECT id, style, length(plain) AS plain_length, length(text) AS styled_length FROM k WHERE length(plain) > 0""")
 def stage_two_quota(spark, d):
-    rows = read_table(spark, d, "combined_records")
-    style = rules.first_match(F.concat(F.coalesce("dataset", F.lit("")), F.lit(" "), F.coalesce("source_file", F.lit(""))), STYLES)
-    one = rows.groupBy("id").agg(F.min(style).alias("style"), F.min("text").alias("text")).where("style is not null")
-    chosen = ranking.quota_sample(one.where(rules.is_sound(F.col("text"))), "style", "id", QUOTAS)
-    out = chat.styled_metadata(chosen.withColumn("plain", text.every_third(F.col("text"))).where(F.length("plain") > 0), "id", "plain", "text", F.col("style"))
+    one = read_table(spark, d, "combined_records").groupBy("id").agg(F.min(F.struct("dataset", "source_file", "text")).alias("r")).select("id", "r.*")
+    out = pipelines.stage_two(one, STYLES, QUOTAS)
     return out.select("id", "metadata.style", F.col("metadata.plain_length").cast("bigint").alias("plain_length"), F.col("metadata.styled_length").cast("bigint").alias("styled_length"))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT id, row_number() OVER (ORDER BY {_hash('42', 'id')}, id) AS n FROM p)
-    SELECT id || CASE WHEN n <= 40 THEN '' WHEN n <= 50 THEN '_adversarial' WHEN n <= 60 THEN '_summary' WHEN n <= 70 THEN '' WHEN n <= 75 THEN '_stress' ELSE '_adversarial' END AS record_id,
-        CASE WHEN n <= 60 THEN 'train' WHEN n <= 70 THEN 'test_standard' WHEN n <= 75 THEN 'test_stress' ELSE 'test_adversarial' END AS split, n > 35 AND n <= 40 AS quiet FROM r WHERE n <= 80""")
+    SELECT id || CASE WHEN n <= 6500 THEN '' WHEN n <= 7300 THEN '_adversarial' WHEN n <= 8000 THEN '_summary' WHEN n <= 8600 THEN '' WHEN n <= 8800 THEN '_stress' ELSE '_adversarial' END AS record_id,
+        CASE WHEN n <= 8000 THEN 'train' WHEN n <= 8600 THEN 'test_standard' WHEN n <= 8800 THEN 'test_stress' ELSE 'test_adversarial' END AS split,
+        md5(CASE WHEN n > 5688 AND n <= 6500 THEN {_pick(chat.QUIET_SYSTEMS, "42s", "id")} ELSE {_pick(chat.SYSTEMS, "42s", "id")} END) AS system_md5 FROM r WHERE n <= 9000""")
 def diversified_sets(spark, d):
-    made = pipelines.diversified(_pair_rows(spark, d), 40, 10, 10, 10, 5, 5)
-    return made.select("record_id", "split", (F.col("conversations")[0]["content"] == "").alias("quiet"))
+    made = pipelines.diversified(_pair_rows(spark, d), 6500, 800, 700, 600, 200, 200)
+    return made.select("record_id", "split", F.md5(F.col("conversations")[0]["content"]).alias("system_md5"))
 
 
 _FA, _FB = f"{_number('42a', 'doc_id')} % (length(text) + 1)", f"{_number('42b', 'doc_id')} % (length(text) + 1)"
@@ -812,9 +856,10 @@ def share_sample(spark, d):
     return pipelines.share_sample(read_table(spark, d, "training_samples"), "record_id", 0.2).select("record_id").distinct()
 
 
-@query("SELECT record_id FROM training_samples WHERE false")
+@query(f"WITH {_MASK_ROWS} SELECT record_id FROM i WHERE {_number('42', 'record_id')} % 10000 < 2000 AND len(p) <= {MOST}")
 def label_markers(spark, d):
-    return pipelines.stray_markers(_masked_rows(spark, d), F.col("labels")).select("record_id")
+    """Of rows whose prompts are learnt, too, the role markers are; of the others none."""
+    return pipelines.stray_markers(_masked_rows(spark, d, training.soft_rows(F.col("record_id"))), F.col("labels")).select("record_id")
 
 
 @query("SELECT DISTINCT id FROM combined_records WHERE contains(lower(coalesce(source_file, '') || coalesce(dataset, '')), 'gufan') OR contains(lower(coalesce(source_file, '') || coalesce(dataset, '')), '冷月')")
@@ -822,14 +867,14 @@ def source_mentions(spark, d):
     return pipelines.mentions(read_table(spark, d, "combined_records"), ["source_file", "dataset"], ["Gufan", "冷月"]).select("id").distinct()
 
 
-@query()
+@query(_shifted(_BOOK, f"regexp_replace({_drop('text', rules.FURNITURE)}, '[a-zA-Z]', '', 'g')").replace("SELECT t.id, ", "SELECT t.id, CAST(length(t.rest || coalesce(g.given, '')) AS INT) AS n_chars, "))
 def repaired_chunks(spark, d):
-    rows = _chunk_rows(spark, d).where("source_file is not null").drop("seq")
+    rows = _books(_chunk_rows(spark, d)).drop("seq")
     return pipelines.repaired_chunks(rows).select("id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 @query()
 def combined_corpus(spark, d):
-    rows = _chunk_rows(spark, d).where("source_file is not null").drop("seq")
+    rows = _books(_chunk_rows(spark, d)).drop("seq")
     made = pipelines.combined(spark, {"merged": rows.where("author = 'Yanbeike'"), "single": rows}, {"merged": 2}, {"single": ["Weizhou", "Gufan"]})
     return made.select("id", "dataset", "merged_count", F.md5("text").alias("md5"))

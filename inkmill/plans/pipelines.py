@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.functions import rules, text
-from inkmill.operators import chat, chunking, ranking, records, sequential, training
-from inkmill.sources import files
+from inkmill.operators import chat, chunking, enrich, ranking, records, sequential, training
+from inkmill.sources import files, sinks
 
 
 def decoded_files(raw: DataFrame, codecs=files.CODECS_WIDE) -> DataFrame:
@@ -96,7 +96,7 @@ def diversified(pairs: DataFrame, polish: int, echo: int, summary: int, standard
     """(record_id, conversations, split) of (id, plain, styled): training and test samples from one seeded order.
 
     The order is cut by position: polish, echo and summary samples for training, then the three test sets. The last
-    ``annealing`` of the polish samples have an empty system turn. Records beyond the sizes are left out.
+    ``annealing`` of the polish samples have a short or an empty system turn. Records beyond the sizes are left out.
     """
     ranked = ranking.hash_position(pairs, "id", seed, name="_at")
     edges = [0]
@@ -105,7 +105,7 @@ def diversified(pairs: DataFrame, polish: int, echo: int, summary: int, standard
     part = lambda k: ranked.where((F.col("_at") > edges[k]) & (F.col("_at") <= edges[k + 1]))
     quiet = F.col("_at") > edges[1] - int(polish * annealing)
     first = chat.restyle_samples(part(0).where(~quiet), "id", "plain", "styled", seed)
-    last = chat.restyle_samples(part(0).where(quiet), "id", "plain", "styled", seed, systems=[""])
+    last = chat.restyle_samples(part(0).where(quiet), "id", "plain", "styled", seed, systems=chat.QUIET_SYSTEMS)
     train = [first, last, chat.echo_samples(part(1), "id", "plain", seed), chat.summary_samples(part(2), "id", "plain", seed)]
     tests = {"test_standard": chat.restyle_samples(part(3), "id", "plain", "styled", seed), "test_stress": chat.restyle_samples(part(4), "id", "plain", "styled", seed, chat.STRESS).withColumn("record_id", F.concat("record_id", F.lit("_stress"))), "test_adversarial": chat.echo_samples(part(5), "id", "plain", seed)}
     out = [df.withColumn("split", F.lit("train")) for df in train] + [df.withColumn("split", F.lit(k)) for k, df in tests.items()]
@@ -123,6 +123,22 @@ def packed_corpus(rows: DataFrame, length: int = 4096, eos: int = 3, pad: int =
     return training.packed(made, "batch", "doc", "ids", length, eos, pad)
 
 
+def masked_corpus(samples: DataFrame, most: int = 1024, pad: int = 0, encode=None, soft: float = 0.0) -> DataFrame:
+    """(record_id, input_ids, attention_mask, labels) of chat samples; rows without an answer or with a prompt beyond ``most`` are left out."""
+    turns = samples.select("record_id", chat.unified_column(samples).alias("turns"))
+    sides = turns.select("record_id", chat.chat_prompt(F.col("turns")).alias("p"), chat.chat_response(F.col("turns")).alias("a")).where("a is not null")
+    ids = sides.select("record_id", training.token_column(F.col("p"), encode).alias("p"), training.token_column(F.col("a"), encode).alias("a"))
+    made = training.masked(ids, F.col("p"), F.col("a"), most, pad, training.soft_rows(F.col("record_id"), soft) if soft else None)
+    return made.where(F.size("input_ids") > 0).select("record_id", "input_ids", "attention_mask", "labels")
+
+
+def rewritten_files(spark: SparkSession, glob: str, out: str, client, policy: enrich.Policy = enrich.Policy()) -> None:
+    """Every non-blank text file through a generator, under its own name in ``out``; files without an answer are left out."""
+    rows = files.whole_texts(spark, glob).where(F.length(text.strip(F.col("text"))) > 0)
+    made = enrich.enrich(rows.select(F.regexp_replace("path", r"^.*[/\\]", "").alias("name"), "text"), "text", client, policy=policy)
+    sinks.write_texts(made, out, "name", "generated")
+
+
 def fill_in_middle(rows: DataFrame, key: str, body: str, share: float = 0.2, seed: int = 42, marks: tuple[str, str, str] = ("<prefix>", "<suffix>", "<middle>")) -> DataFrame:
     """``rows`` with a share of the texts rearranged to prefix, suffix, middle, cut at two hashed places; others as they are."""
     n = F.length(body)

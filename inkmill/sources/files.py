@@ -6,10 +6,13 @@ Every reader that promises an order gives (path, seq): Spark's rows have none of
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkmill.functions.text import strip
+from inkmill.operators.ranking import position
+
 CODECS = ("utf-8", "gb18030", "gbk", "big5", "utf-16")
 CODECS_WIDE = (*CODECS, "utf-16-le", "utf-16-be")
 
@@ -57,8 +60,15 @@ def whole_texts(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, seq, line), ``seq`` from 0 within each file."""
-    return whole_texts(spark, glob).select("path", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    """(path, seq, line), ``seq`` from 0 within each file; a line feed at the end begins no line.
+
+    Large files are read in splits: lines are counted within theirs, and the sizes of a file's splits summed up.
+    """
+    lines = spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    blocks = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(blocks, ["path", "_block"]).select("path", (F.col("_start") + F.col("_at") - F.col("_first")).alias("seq"), "line")
 
 
 def json_lines(spark: SparkSession, glob: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -77,16 +87,21 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def ordered_shards(spark: SparkSession, glob: str, schema: str, most: int = 0) -> DataFrame:
-    """Shards in the order of their names, rows in the order of their lines, the first ``most`` of all (0: all)."""
-    rows = numbered_lines(spark, glob).where(F.trim("line") != "").select("path", "seq", F.from_json("line", schema).alias("r"))
-    rows = rows.orderBy("path", "seq")
-    return (rows.limit(most) if most else rows).select("path", "seq", "r.*")
+    """Shards in the order of their names, rows in the order of their lines, the first ``most`` of all (0: all); blank lines do not count.
+
+    The cap is a position in that order, found from counts per stretch of lines, so it may be as large as the table.
+    """
+    rows = numbered_lines(spark, glob).where(F.trim("line") != "")
+    if most:
+        rows = position(rows, [F.col("path"), F.col("seq")], F.struct("path", F.floor(F.col("seq") / 65536)), name="_row").where(F.col("_row") <= most)
+    return rows.select("path", "seq", F.from_json("line", schema).alias("r")).orderBy("path", "seq").select("path", "seq", "r.*")
 
 
 def prompts(lines: DataFrame, default_system: str, column: str = "value") -> DataFrame:
     """(system, user) of lines that hold JSON with these keys, or else are the user's text; blank lines are skipped."""
     j = F.from_json(F.col(column), "system string, user string")
-    is_object = F.trim(F.col(column)).startswith("{") & j["user"].isNotNull()
-    return lines.where(F.trim(F.col(column)) != "").select(
-        F.coalesce(F.nullif(F.when(is_object, j["system"]), F.lit("")), F.lit(default_system)).alias("system"), F.when(is_object, j["user"]).otherwise(F.trim(F.col(column))).alias("user")
+    line = strip(F.col(column))
+    is_object = line.startswith("{") & j["user"].isNotNull()
+    return lines.where(line != "").select(
+        F.coalesce(F.nullif(F.when(is_object, j["system"]), F.lit("")), F.lit(default_system)).alias("system"), F.when(is_object, j["user"]).otherwise(line).alias("user")
     )

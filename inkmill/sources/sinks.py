@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from inkmill.functions.text import strip
 
 
-def chunk_records(df: DataFrame, chunks: Column, prefix: str, least: int = 10) -> DataFrame:
+def chunk_records(df: DataFrame, chunks: Column, prefix: Column | str, least: int = 10) -> DataFrame:
     """(id, chunk): stripped chunks of at least ``least`` characters; ids count before the short ones go, so they leave gaps."""
-    out = df.select(F.posexplode(chunks).alias("_pos", "_c")).select(F.format_string("%s_%05d", F.lit(prefix), "_pos").alias("id"), strip(F.col("_c")).alias("chunk"))
+    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
+    out = df.select(prefix.alias("_prefix"), F.posexplode(chunks).alias("_pos", "_c")).select(F.format_string("%s_%05d", "_prefix", "_pos").alias("id"), strip(F.col("_c")).alias("chunk"))
     return out.where(F.length("chunk") >= least)
 
 
@@ -19,8 +20,10 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite", keep_nul
     df.write.mode(mode).option("ignoreNullFields", not keep_nulls).json(path)
 
 
-def json_array_text(df: DataFrame, order: list[str]) -> DataFrame:
-    """(value): small results as one pretty JSON array, in order."""
+def json_array_text(df: DataFrame, order: list[str], most: int = 100_000) -> DataFrame:
+    """(value): small results as one pretty JSON array, in order; an error for more than ``most`` rows, which belong into JSON lines."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one JSON array")
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), row.alias("r")))), lambda x: x["r"]), {"pretty": "true"}).alias("value"))
 

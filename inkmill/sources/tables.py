@@ -16,9 +16,12 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows over at least as many partitions as the cluster has cores.
 
     A table of many files already has more splits than cores and passes unchanged, so at scale this adds no
-    shuffle; a single small file would otherwise run in one task.
+    shuffle; a single small file would otherwise run in one task. What has been shuffled passes unchanged, too: counting
+    its partitions would run it.
     """
     want = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 

@@ -17,25 +17,17 @@ def stream_json(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def stream_parquet(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-
-
 def append_once(stream: DataFrame, out: str, checkpoint: str, change: Callable[[DataFrame], DataFrame], key: str = "id") -> StreamingQuery:
-    """All files that are there, through ``change``, appended to ``out``; a later call goes on where this one stopped.
+    """All files that are there, through ``change``, added to ``out``; a later call goes on where this one stopped.
 
-    Each micro-batch leaves out keys that ``out`` has, so a batch that is run again adds nothing.
+    Keys that came before are held in the stream's state, so the output is never read; each micro-batch writes a folder of
+    its own (``batch=N``), which a repeated run of that batch replaces.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(out).select(key).distinct(), key, "left_anti")
-        change(new).write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        change(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, group: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:

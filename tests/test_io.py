@@ -25,7 +25,7 @@ def test_scan_and_readers(spark, tmp_path):
     (tmp_path / "单.txt").write_text("一\n二")
     got = {r.author: (r.text, r.encoding) for r in files.scan_texts(spark, str(tmp_path)).collect()}
     assert got["某甲"] == ("夜渡", "gb18030") and got["单.txt"] == ("一\n二", "utf-8")
-    assert [(r.seq, r.line) for r in files.numbered_lines(spark, str(tmp_path / "单.txt")).collect()] == [(0, "一"), (1, "二")]
+    assert sorted((r.seq, r.line) for r in files.numbered_lines(spark, str(tmp_path / "单.txt")).collect()) == [(0, "一"), (1, "二")]
 
 
 def test_json_lines(spark, tmp_path):
@@ -42,6 +42,41 @@ def test_json_lines(spark, tmp_path):
     assert files.json_array(spark, str(tmp_path / "a.json"), "id string").count() == 2
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    want = []
+    for f in ("chunk_0.jsonl", "chunk_1.jsonl", "chunk_2.jsonl"):
+        some = ["" if i % 97 == 5 else json.dumps({"id": f"{f}-{i}", "pad": "夜" * (i % 40)}) for i in range(3000)]
+        (tmp_path / f).write_text("\n".join(some) + ("\n" if f != "chunk_1.jsonl" else ""))
+        want += [(f, i, x) for i, x in enumerate(some) if x]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        glob = str(tmp_path / "chunk_*.jsonl")
+        assert spark.read.text(glob).rdd.getNumPartitions() > 6
+        got = sorted((r.path.rsplit("/", 1)[1], r.seq, r.line) for r in files.numbered_lines(spark, glob).collect() if r.line)
+        assert got == want
+        rows = files.ordered_shards(spark, glob, "id string", 4000).collect()
+        assert [(r.path.rsplit("/", 1)[1], r.seq) for r in rows] == [x[:2] for x in want[:4000]]
+        assert [r.id for r in rows] == [json.loads(x[2])["id"] for x in want[:4000]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_spread_runs_nothing(spark):
+    from inkmill.sources.tables import spread
+
+    asked = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "spread")
+    shuffled = spark.range(1000).repartition(3).distinct()
+    assert spread(shuffled) is shuffled and not asked.getJobIdsForGroup("spread")
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_json_array_is_bounded(spark):
+    with pytest.raises(ValueError):
+        sinks.json_array_text(spark.range(11), ["id"], 10)
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("1", "a/b", "夜", 0), ("2", None, None, 150)], "id string, author string, text string, i int")
     sinks.write_json_lines(rows, str(tmp_path / "j"))
@@ -68,6 +103,7 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     run()
     run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+    assert {r.batch for r in spark.read.parquet(out).select("batch").distinct().collect()} == {0, 1}
 
 
 def test_cut_reads_the_same(spark):
