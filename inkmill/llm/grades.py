@@ -53,6 +53,10 @@ class Table:
         self.first = np.searchsorted(codes >> np.uint64(64 - self.BITS), np.arange((1 << self.BITS) + 1).astype(np.uint64)).astype(np.int32)
         self.deep = int(np.diff(self.first).max())
 
+    def __reduce__(self):
+        # The slots are made anew where the table arrives.
+        return Table, (self.codes[:-1], self.values[:-1])
+
     def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``codes`` of known ones, in order; their values)."""
         slot = (codes >> np.uint64(64 - self.BITS)).astype(np.int64)
