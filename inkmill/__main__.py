@@ -68,7 +68,7 @@ def styles(a) -> dict[str, str]:
 
 
 COMMANDS = {
-    "transcode": lambda s, a: pipelines.transcoded(_raw(s, a.input)).select("path", "encoding", F.decode("content", F.lit("UTF-8")).alias("text")),
+    "transcode": lambda s, a: pipelines.transcoded(_raw(s, a.input)).select("path", "encoding", F.decode("content", "UTF-8").alias("text")),
     "stage-two": lambda s, a: pipelines.stage_two(files.json_lines(s, a.input, records.COMBINED, strict=False), styles(a), pipelines.style_quotas(a.count or 6000, {k: float(a.share[i]) if i < len(a.share) else 1 / len(a.style) for i, k in enumerate(styles(a))}), a.seed),
     "enrich": enriched,
     "mask": lambda s, a: pipelines.masked_corpus(files.json_lines(s, a.input, SAMPLE, strict=False), a.block_length, encode=tokenizer(a), soft=a.soft_share),
