@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.hanfold import fold_pairs, to_simplified
 from inkmill.llm.crosssplit import ANSWER, DISTANCE, USER, edit_distance, turn
 from inkmill.llm.encoding import LANGUAGES
+from inkmill.plans.lineage import cut
 from inkmill.sources.tables import spread
 
 #: A response is a copy if its prompt explains all but this share of its size, at about the prompt's length.
@@ -238,7 +239,7 @@ def terminal_contexts(pairs: DataFrame) -> dict[str, bool]:
         keys = list(places | ends)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([places[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["context", "places", "ends"])
 
-    counted = pairs.select("response").distinct().mapInArrow(run, "context string, places bigint, ends bigint")
+    counted = cut(pairs.select("response").distinct().mapInArrow(run, "context string, places bigint, ends bigint"))
     # A run counts for its last signs, too.
     parts = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("context")), lambda k: F.right("context", k))).alias("context"), "places", "ends")
     sums = parts.groupBy("context").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
