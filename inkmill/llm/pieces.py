@@ -16,13 +16,13 @@ LIMIT, OVERLAP = 1000, 50
 #: A boundary is looked for within this share of the piece length on either side of its target.
 REACH = 0.2
 CLOSERS = "”’」』）】》〉\"')\\]"
-#: (strength, what ends just before the boundary), strongest first.
+#: What ends just before a boundary, strongest first: lines, sentences, parts of sentences, clauses, words.
 BOUNDARIES = [
-    (6.0, re.compile(r"\n\s*\n|\r?\n")),
-    (5.0, re.compile(f"[。！？!?…]+[{CLOSERS}]*|\\.(?=\\s)|\\.[{CLOSERS}]+")),
-    (3.5, re.compile(f"[；;：:][{CLOSERS}]*|——")),
-    (2.5, re.compile(f"[，,、][{CLOSERS}]*")),
-    (1.0, re.compile(r"\s+")),
+    re.compile(r"\n\s*\n|\r?\n"),
+    re.compile(f"[。！？!?…]+[{CLOSERS}]*|\\.(?=\\s)|\\.[{CLOSERS}]+"),
+    re.compile(f"[；;：:][{CLOSERS}]*|——"),
+    re.compile(f"[，,、][{CLOSERS}]*"),
+    re.compile(r"\s+"),
 ]
 
 
@@ -37,18 +37,15 @@ def _whole(text: str, at: int) -> int:
 
 
 def snap(text: str, target: int, reach: int) -> int:
-    """The strongest boundary within ``reach`` of ``target``, nearer ones first; the target itself where there is none."""
+    """The strongest boundary within ``reach`` of ``target``, of equal ones the nearest; the target itself where there is none."""
     low, high = max(1, target - reach), min(len(text) - 1, target + reach)
-    part, best, score = text[max(0, low - 4) : high + 4], target, 0.0
     base = max(0, low - 4)
-    for strength, pattern in BOUNDARIES:
-        for m in pattern.finditer(part):
-            at = base + m.end()
-            if low <= at <= high:
-                s = strength - 1.4 * abs(at - target) / max(1, reach)
-                if s > score:
-                    best, score = at, s
-    return best if score > 0 else _whole(text, target)
+    part = text[base : high + 4]
+    for pattern in BOUNDARIES:
+        found = [base + m.end() for m in pattern.finditer(part) if low <= base + m.end() <= high]
+        if found:
+            return min(found, key=lambda at: (abs(at - target), at))
+    return _whole(text, target)
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:

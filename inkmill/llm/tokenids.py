@@ -177,8 +177,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(key, ids) of every row: the ids of ``text`` without special tokens.
+def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, offsets: bool = False) -> DataFrame:
+    """(key, ids) of every row: the ids of ``text`` without special tokens; with ``offsets`` also the byte at which each token begins.
 
     Null and empty texts get the empty list. Rows are independent, so nothing is shuffled; other columns are not read.
     """
@@ -195,12 +195,15 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
                     size += len(texts[end] or "")
                     end += 1
                 ids, sizes = tool.encode([t or "" for t in texts[at:end]])
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), lists], names=[key, "ids"])
+                edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns = [ids]
+                if offsets:
+                    begins = np.concatenate([[0], np.cumsum(widths(path)[ids])]) if len(ids) else np.zeros(1, np.int64)
+                    columns.append((begins[:-1] - np.repeat(begins[edges[:-1]], sizes)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), *(pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in columns)], names=[key, "ids", "offsets"][: 1 + len(columns)])
                 at = end
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>" + (", offsets array<int>" if offsets else ""))
 
 
 @lru_cache(maxsize=2)
@@ -209,6 +212,15 @@ def _pieces_by_id(path: str) -> dict[int, bytes]:
         return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=2)
+def widths(path: str) -> np.ndarray:
+    """Bytes of each token, by id."""
+    pieces = _pieces_by_id(path)
+    out = np.zeros(max(pieces) + 1, dtype=np.int64)
+    out[list(pieces)] = [len(x) for x in pieces.values()]
+    return out
+
+
 def decode(ids: list[int], vocabulary: str | None = None) -> tuple[str, list[int]]:
     """(text, byte offset of each token) of a list of ids."""
     table = _pieces_by_id(vocabulary or default_vocabulary())

@@ -26,6 +26,12 @@ def test_pieces_end_where_prose_allows():
     assert set(ends) == {"。"}
 
 
+def test_the_strongest_boundary_nearby_wins():
+    text = "甲" * 90 + "。" + "甲" * 9 + "，" + "甲" * 20 + "\n" + "甲" * 200
+    assert pieces.snap(text, 100, 30) == 122 and pieces.snap(text, 100, 15) == 91 and pieces.snap(text, 103, 5) == 101 and pieces.snap(text, 200, 20) == 200
+    assert pieces.snap("甲。" * 50, 51, 20) == 50
+
+
 def test_other_limits():
     for limit, overlap in ((10, 0), (10, 4), (100, 30)):
         text = prose(777)

@@ -49,12 +49,14 @@ def test_operator_and_round_trip(spark, reference):
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 50))) for _ in range(300)] + [None, "", " ", "长" * 300_000, "a" * 20_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "x", 1), (0, texts[0], 1)], "doc_id bigint, text string, ids int")
     got = tokenids.token_ids(df).collect()
+    retained = {r.doc_id: r.offsets for r in tokenids.token_ids(df, offsets=True).collect()}
     assert len(got) == len(texts) + 2
     for r in got:
         t = "x" if r.doc_id is None else texts[r.doc_id] or ""
         assert r.ids == reference.encode_ordinary(t)
         text, offsets = tokenids.decode(r.ids)
         assert text == t and len(offsets) == len(r.ids)
+        assert retained[r.doc_id] == offsets
     assert tokenids.token_ids(df.where("false")).count() == 0
 
 
