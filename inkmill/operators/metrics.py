@@ -98,5 +98,10 @@ def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
     return df.where((F.pmod(F.col(step), F.lit(n)) == 0) & (F.col(step) > 0))
 
 
+def at_least(df: DataFrame, score: str, least: float) -> DataFrame:
+    """Rows whose score is ``least`` or more; null scores fall away."""
+    return df.where(F.col(score) >= least)
+
+
 def by_author(df: DataFrame, author: str = "author") -> DataFrame:
     return df.groupBy(author).agg(F.count("*").alias("records"))

@@ -676,12 +676,24 @@ def _scored(spark, d) -> DataFrame:
     return rows.select("id", metrics.rouge_l(F.col("styled"), F.col("plain")).alias("rouge_l"))
 
 
-@query()
+def _signs(x: str) -> str:
+    return f"regexp_extract_all(regexp_replace({x}, '{text.WS}', '', 'g'), '(?s).', 0)"
+
+
+#: The longest common subsequence as the longest rising run of matching places: a place takes that of the least one not below it.
+_ROUGE = f"""{_PAIRS}, e AS (SELECT id, {_signs('styled')} AS a, {_signs('plain')} AS b FROM p),
+    m AS (SELECT id, len(a) AS na, len(b) AS nb, flatten(list_transform(a, lambda c: list_transform(list_reverse(list_filter(range(1, len(b) + 1), lambda i: b[i] = c)), lambda i: [i]))) AS s FROM e),
+    n AS (SELECT id, na, nb, CASE WHEN len(s) = 0 THEN 0 ELSE len(list_reduce(s, lambda t, x: list_concat(list_concat(list_filter(t, lambda v: v < x[1]), x), list_filter(t, lambda v: v >= x[1])[2:]))) END AS n FROM m),
+    g AS (SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * (n / nb) * (n / na) / (n / na + n / nb) END AS rouge_l FROM n)"""
+
+
+@query(f"WITH {_ROUGE} SELECT id, round(rouge_l, 6) AS rouge_l, rouge_l < 0.8 AS is_rewritten FROM g")
 def rouge_l_eval(spark, d):
     return _scored(spark, d).select("id", F.round("rouge_l", 6).alias("rouge_l"), (F.col("rouge_l") < 0.8).alias("is_rewritten"))
 
 
-@query()
+@query(f"""WITH {_ROUGE}, s AS (SELECT count(*) AS total, round(avg(rouge_l), 6) AS average, count(*) FILTER (rouge_l < 0.8) AS rewrites, round(count(*) FILTER (rouge_l < 0.8) / count(*), 6) AS rewrite_rate FROM g)
+    SELECT *, CASE WHEN average >= 0.95 THEN 'excellent' WHEN average >= 0.85 THEN 'good' WHEN average >= 0.70 THEN 'fair' ELSE 'poor' END AS band, CASE WHEN rewrite_rate <= 0.05 THEN 'keeps' WHEN rewrite_rate <= 0.15 THEN 'drifts' ELSE 'rewrites' END AS rewrite_band FROM s""")
 def rouge_summary(spark, d):
     return metrics.evaluation_summary(_scored(spark, d))
 
@@ -784,6 +796,72 @@ def author_folders(spark, d):
     return read_table(spark, d, "chunks").select(sinks.safe_name(F.coalesce("author", F.lit(""))).alias("folder")).distinct()
 
 
+# -- written and read again -----------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_CHUNKS} SELECT id, author, source_file, md5(text) AS md5 FROM c")
+def json_round_trip(spark, d):
+    folder = _folder(spark)
+    sinks.write_json_lines(_chunk_rows(spark, d).select("id", "author", "source_file", "text"), folder)
+    rows = files.json_lines(spark, folder, "id string, author string, source_file string, text string")
+    return rows.select("id", "author", "source_file", F.md5("text").alias("md5"))
+
+
+@query(f"WITH {_CHUNKS} SELECT id, md5(text) AS md5, {_number('42j', 'id')} % 5 = 0 AS broken FROM c")
+def json_rejects(spark, d):
+    """JSON lines of which some are cut off: those that can be read, and the others with their text."""
+    folder = _folder(spark)
+    rows = _chunk_rows(spark, d).select("id", "text")
+    line, bad = F.to_json(F.struct("id", "text"), {"ignoreNullFields": "false"}), ranking.hash_number("42j", F.col("id")) % 5 == 0
+    rows.select(F.when(bad, F.concat(F.lit("#"), line)).otherwise(line).alias("value")).write.text(folder)
+    got = files.json_lines_with_rejects(spark, folder, "id string, text string").select(F.coalesce("id", F.from_json(F.substring("_corrupt_record", 2, 1 << 30), "id string")["id"]).alias("id"), F.coalesce("text", F.from_json(F.substring("_corrupt_record", 2, 1 << 30), "text string")["text"]).alias("text"), F.col("_corrupt_record").isNotNull().alias("broken"))
+    kept = files.json_lines(spark, folder, "id string, text string", strict=False).select("id", F.lit(True).alias("_kept"))
+    return got.join(kept, "id", "left").where(F.col("broken") == F.col("_kept").isNull()).select("id", F.md5("text").alias("md5"), "broken")
+
+
+@query(f"WITH {_CHUNKS} SELECT id, CAST(seq // 100 AS BIGINT) AS bucket, md5(text) AS md5 FROM c WHERE seq IS NOT NULL")
+def bucket_round_trip(spark, d):
+    folder = _folder(spark)
+    sinks.write_buckets(_chunk_rows(spark, d).where("seq is not null").select("id", "seq", "text"), folder, "seq")
+    rows = spark.read.schema("id string, seq bigint, text string, bucket bigint").json(folder)
+    return rows.select("id", "bucket", F.md5("text").alias("md5"))
+
+
+@query(f"WITH {_CHUNKS} SELECT coalesce(nullif(regexp_replace({_strip("coalesce(author, '')")}, '[/\\\\]', '_', 'g'), ''), 'unknown') AS folder, id, md5(text) AS md5 FROM c")
+def author_round_trip(spark, d):
+    folder = _folder(spark)
+    sinks.write_by_author(_chunk_rows(spark, d).select("id", "author", "text"), folder)
+    rows = spark.read.schema("id string, text string, _author string").json(folder)
+    return rows.select(F.col("_author").alias("folder"), "id", F.md5("text").alias("md5"))
+
+
+@query("SELECT doc_id, md5(replace(text, chr(13), '')) AS md5 FROM documents WHERE text IS NOT NULL")
+def text_round_trip(spark, d):
+    """One file per document, written and scanned again."""
+    folder = _folder(spark)
+    rows = read_table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+    sinks.write_texts(rows, folder, "name", "text")
+    got = files.whole_texts(spark, f"{folder}/*/*.txt").select(F.regexp_extract("path", "name=([0-9]+)/", 1).cast("bigint").alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    return got.select("doc_id", F.md5("text").alias("md5"))
+
+
+@query("SELECT author, count(*) AS records FROM chunks GROUP BY author")
+def json_array_round_trip(spark, d):
+    """A small result as one JSON array, written and read again."""
+    folder = _folder(spark)
+    sinks.json_array_text(metrics.by_author(read_table(spark, d, "chunks")), ["author"]).coalesce(1).write.option("lineSep", "\n").text(folder)
+    return files.json_array(spark, folder, "author string, records bigint")
+
+
+@query("SELECT doc_id, rater, level FROM level_labels WHERE level >= 3")
+def score_filter(spark, d):
+    return metrics.at_least(read_table(spark, d, "level_labels"), "level", 3)
+
+
 # -- generators and streams -----------------------------------------------------------------------------------------
 
 
@@ -798,6 +876,67 @@ def llm_map_resume(spark, d):
     return enrich.enrich_rest(rows, read_table(spark, d, "style_pairs").select("id"), "id", "text", echo_client, policy=enrich.Policy(threads=2, pause=0)).select("id", "generated")
 
 
+def flaky_client():
+    """A generator that fails on the first call for a text and then says how much of it was handed over, and its last words."""
+    seen = set()
+
+    def ask(t: str) -> str:
+        if t not in seen:
+            seen.add(t)
+            raise TimeoutError
+        return f"  {len(t)}:{t[-3:]} "
+
+    return ask
+
+
+@query(f"WITH {_CHUNKS} SELECT id, {_strip("length(left(text, 200)) || chr(58) || right(left(text, 200), 3)")} AS generated FROM c WHERE length(text) > 0")
+def llm_policy(spark, d):
+    """Retries, a bound on the text handed over, and stripped answers."""
+    rows = _chunk_rows(spark, d).where(F.length("text") > 0).select("id", "text")
+    return enrich.enrich(rows, "text", flaky_client, policy=enrich.Policy(tries=2, pause=0, head=200, threads=2)).select("id", "generated")
+
+
+class _Batched:
+    def many(self, texts: list[str]) -> list[str]:
+        return [f"{len(t)}" for t in texts]
+
+
+@query(f"WITH {_CHUNKS} SELECT id, CAST(length(text) AS VARCHAR) AS generated FROM c WHERE length(text) > 0")
+def llm_batched(spark, d):
+    rows = _chunk_rows(spark, d).select("id", "text")
+    return enrich.enrich(rows, "text", _Batched, policy=enrich.Policy(batch=16)).select("id", "generated")
+
+
+@query(f"WITH {_CHUNKS} SELECT id, {_strip('CAST(length(text) AS VARCHAR) || chr(58) || left(text, 10)')} AS generated FROM c WHERE length(text) > 0 AND length(text) % 7 <> 0 ORDER BY id LIMIT 100")
+def llm_limit(spark, d):
+    """The first hundred answers, however many texts have to be asked for."""
+    rows = _chunk_rows(spark, d).where(F.length("text") > 0).select("id", "text")
+    return enrich.enrich_rest(rows, rows.limit(0), "id", "text", echo_client, 100, policy=enrich.Policy(tries=1, pause=0, threads=2)).select("id", "generated")
+
+
+@query(f"WITH {_CHUNKS} SELECT id, length(text) AS n_chars FROM c")
+def stream_resume(spark, d):
+    """JSON shards streamed in two runs, the second over more files and some lines again, each key written once."""
+    folder, out, mark = (_folder(spark) for _ in range(3))
+    rows = _chunk_rows(spark, d).select("id", "text")
+    late = ranking.hash_number("42t", F.col("id")) % 3 == 0
+    for some in (rows.where(~late), rows):
+        sinks.write_json_lines(some, folder, "append")
+        stream = jobs.stream_json(spark, folder, "id string, text string", 4)
+        jobs.append_once(stream, out, mark, lambda b: b.select("id", F.length("text").cast("bigint").alias("n_chars"))).awaitTermination()
+    return spark.read.parquet(out).select("id", "n_chars")
+
+
+@query(_shifted(_BOOK, "text").replace("SELECT t.id, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t", "SELECT t.source_file, t.seq, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t") + " AND t.seq < (SELECT max(u.seq) FROM t u WHERE u.keep AND u.source_file = t.source_file)")
+def stream_quotes(spark, d):
+    """The streaming form of the quote repair; the newest kept record of each book waits in the state."""
+    folder = _folder(spark)
+    _books(_chunk_rows(spark, d)).where("seq is not null").select("source_file", "seq", "text").write.parquet(folder)
+    stream = spark.readStream.schema("source_file string, seq bigint, text string").parquet(folder)
+    got = jobs.read_memory(jobs.shift_quotes_stream(stream, "source_file", "seq", "text"), f"quotes_{uuid.uuid4().hex}", "append")
+    return got.select("source_file", "seq", F.md5("text").alias("md5"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     schema = read_table(spark, d, "events").schema
