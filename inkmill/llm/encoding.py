@@ -33,7 +33,7 @@ STEPS = [
 ]
 #: Bytes of description that a step costs, and the share of a line's length it must save besides.
 STEP_COST, SAVING = 4, 0.06
-#: Size of the dictionary of Chinese, and the most that one line gives to it.
+#: Size of the dictionary of Chinese, and of the parts that longer lines are taken in.
 DICTIONARY_BYTES, LINE_LETTERS = 96_000, 2000
 #: A character is usual if it stands in sound lines of this share of the texts that have any.
 USUAL = 0.01
@@ -202,7 +202,7 @@ def survey(texts: list[str], known: np.ndarray, rare: np.ndarray) -> tuple[list[
     pairs = np.unique(owner[line].astype(np.int64) << 21 | points[at].astype(np.int64))
     edges = np.searchsorted(pairs >> 21, np.arange(len(texts) + 1))
     signs = [(pairs[a:b] & 0x1FFFFF).astype(np.int32) if h else None for a, b, h in zip(edges[:-1], edges[1:], has)]
-    return signs, [whole[a : min(b, a + LINE_LETTERS)] for a, b in zip(starts[clean], ends[clean]) if b - a > 20]
+    return signs, [whole[k : min(b, k + LINE_LETTERS)] for a, b in zip(starts[clean], ends[clean]) for k in range(a, b, LINE_LETTERS) if min(b, k + LINE_LETTERS) - k > 20]
 
 
 def line_hash(line: str) -> int:
