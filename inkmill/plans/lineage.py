@@ -15,6 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset and the master is local, one of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
+        _clear_unused(context)
         return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -23,9 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
         folder = os.path.join(tempfile.gettempdir(), f"inkmill-{context.applicationId}")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
+    _clear_unused(context)
     return context.getCheckpointDir()
 
 
+def _clear_unused(context) -> None:
+    """Let checkpoints go with the last reference to them, unless the session says otherwise."""
+    conf = context._jsc.sc().conf()
+    if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+        conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there: it survives the loss of an executor."""
     shared_folder(df.sparkSession)

@@ -54,9 +54,13 @@ def _quoted(s: str) -> str:
     return r"\Q" + s + r"\E"
 
 
-def whole_texts(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, text): UTF-8 files, one row each."""
-    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def whole_texts(spark: SparkSession, glob: str, codecs=("utf-8",), ordered: bool = False) -> DataFrame:
+    """(path, text): files, one row each, by the first of ``codecs`` that reads all of it (null if none does); in the order of paths if wanted."""
+    if tuple(codecs) == ("utf-8",):
+        rows = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    else:
+        rows = spark.read.format("binaryFile").load(glob).select("path", decoded(F.col("content"), codecs)["text"].alias("text"))
+    return rows.orderBy("path") if ordered else rows
 
 
 def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:

@@ -42,6 +42,36 @@ def test_json_lines(spark, tmp_path):
     assert files.json_array(spark, str(tmp_path / "a.json"), "id string").count() == 2
 
 
+def test_whole_texts_in_order(spark, tmp_path):
+    for name, codec in (("b", "gb18030"), ("a", "utf-8"), ("c", "big5")):
+        (tmp_path / f"{name}.txt").write_bytes("夜渡寒江".encode(codec))
+    rows = files.whole_texts(spark, str(tmp_path / "*.txt"), files.CODECS, ordered=True).collect()
+    assert [r.path[-5:] for r in rows] == ["a.txt", "b.txt", "c.txt"] and [r.text for r in rows[:2]] == ["夜渡寒江"] * 2
+    assert files.whole_texts(spark, str(tmp_path / "a.txt")).head().text == "夜渡寒江"
+
+
+def test_checkpoints_are_cleared(spark):
+    import gc
+    import os
+    import time
+
+    from inkmill.plans.lineage import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    held = cut(spark.range(7))
+    before = set(os.listdir(folder))
+    assert before and held.count() == 7
+    del held
+    for _ in range(20):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if before - set(os.listdir(folder)):
+            break
+        time.sleep(0.5)
+    else:
+        raise AssertionError("no checkpoint was cleared")
+
+
 def test_lines_of_split_files(spark, tmp_path):
     want = []
     for f in ("chunk_0.jsonl", "chunk_1.jsonl", "chunk_2.jsonl"):
