@@ -328,15 +328,17 @@ def chapter_marks(spark, d):
 
 #: Invented lines: headers, navigation, openings, and prose that trips a rule.
 LINE_FIXTURE = ["第十二回 夜渡", "  第3章　归途", "第二卷 風起", "序", "返回目录", "未完待续", "话说当夜", "却说那人", "　　再说 三日后", "他序了齿，方才落座。", "ｗｗｗ．某站．ｃｏｍ", "小-说 天.堂", "12345", "123", "手头无钱，只得打了欠条。", "", "正文一行。", "大学生读书", "更 新 最 快"]
-_FIXTURE_SQL = ", ".join(f"({i}, '{_q(x)}')" for i, x in enumerate(LINE_FIXTURE))
+_FIXTURE_SQL = ", ".join(f"('{_q(x)}')" for x in LINE_FIXTURE)
 
 
-@query(f"""SELECT CAST(seq AS BIGINT) AS seq, regexp_matches({_strip('line')}, '{rules.HEADER}') AS header, regexp_matches({_strip('line')}, '{"|".join(rules.NAVIGATION)}') AS navigation, {_is_ad('line')} AS ad,
-    regexp_replace({_strip('line')}, '^[话却且再]说{text.WS}*', '') AS opened FROM (VALUES {_FIXTURE_SQL}) v(seq, line)""")
+@query(f"""WITH {_CHUNKS}, v AS (SELECT DISTINCT unnest({_split('text')}) AS line FROM c WHERE text IS NOT NULL UNION SELECT * FROM (VALUES {_FIXTURE_SQL}) w(line))
+    SELECT md5(line) AS line_md5, regexp_matches({_strip('line')}, '{rules.HEADER}') AS header, regexp_matches({_strip('line')}, '{"|".join(rules.NAVIGATION)}') AS navigation, {_is_ad('line')} AS ad,
+    regexp_replace({_strip('line')}, '^[话却且再]说{text.WS}*', '') AS opened FROM v""")
 def line_rules(spark, d):
-    rows = spark.createDataFrame(list(enumerate(LINE_FIXTURE)), "seq bigint, line string")
+    """Every different line of the table, and the invented ones."""
+    rows = _chunk_rows(spark, d).select(F.explode(text.lines(F.col("text"))).alias("line")).union(spark.createDataFrame([(x,) for x in LINE_FIXTURE], "line string")).distinct()
     x = F.col("line")
-    return rows.select("seq", rules.is_header(x).alias("header"), rules.is_navigation(x).alias("navigation"), rules.AdRules().is_ad(x).alias("ad"), rules.drop_opening(x).alias("opened"))
+    return rows.select(F.md5("line").alias("line_md5"), rules.is_header(x).alias("header"), rules.is_navigation(x).alias("navigation"), rules.AdRules().is_ad(x).alias("ad"), rules.drop_opening(x).alias("opened"))
 
 
 _BODY = _strip(f"regexp_replace({_chain('replace(text, chr(13), chr(10))', rules.META)}, '{text.WS}+', ' ', 'g')")
@@ -700,19 +702,27 @@ def rouge_summary(spark, d):
 
 #: Invented scores: ties, and every edge of a band.
 SCORES = [0.95, 0.85, 0.7, 0.8, 0.8, 0.1, 1.0, 0.99, 0.5]
-_SCORES = ", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(SCORES))
+_SCORES = ", ".join(f"('score{i}', CAST({s} AS DOUBLE))" for i, s in enumerate(SCORES))
 _BAND = "CASE WHEN s >= 0.95 THEN 'excellent' WHEN s >= 0.85 THEN 'good' WHEN s >= 0.70 THEN 'fair' ELSE 'poor' END"
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS id, {_BAND} AS band, s < 0.8 AS is_rewritten FROM (VALUES {_SCORES}) v(i, s)")
+#: Scores of the table's pairs and the invented ones.
+_ALL_SCORES = f"{_ROUGE}, v AS (SELECT id, CAST(rouge_l AS DOUBLE) AS s FROM g UNION ALL SELECT * FROM (VALUES {_SCORES}) w(i, s))"
+
+
+def _all_scores(spark, d) -> DataFrame:
+    return _scored(spark, d).union(spark.createDataFrame([(f"score{i}", s) for i, s in enumerate(SCORES)], "id string, rouge_l double"))
+
+
+@query(f"WITH {_ALL_SCORES} SELECT id, {_BAND} AS band, s < 0.8 AS is_rewritten FROM v")
 def eval_bands(spark, d):
-    rows = spark.createDataFrame(list(enumerate(SCORES)), "id bigint, rouge_l double")
+    rows = _all_scores(spark, d)
     return rows.select("id", metrics.verdict(F.col("rouge_l")).alias("band"), (F.col("rouge_l") < 0.8).alias("is_rewritten"))
 
 
-@query(f"(SELECT CAST(i AS BIGINT) AS id, s AS rouge_l, 'best' AS side FROM (VALUES {_SCORES}) v(i, s) ORDER BY s DESC, i LIMIT 3) UNION ALL (SELECT CAST(i AS BIGINT), s, 'worst' FROM (VALUES {_SCORES}) v(i, s) ORDER BY s, i LIMIT 3)")
+@query(f"WITH {_ALL_SCORES} (SELECT id, round(s, 6) AS rouge_l, 'best' AS side FROM v ORDER BY s DESC, id LIMIT 5) UNION ALL (SELECT id, round(s, 6), 'worst' FROM v ORDER BY s, id LIMIT 5)")
 def top_bottom_k(spark, d):
-    return metrics.extremes(spark.createDataFrame(list(enumerate(SCORES)), "id bigint, rouge_l double"), "rouge_l", "id")
+    return metrics.extremes(_all_scores(spark, d), "rouge_l", "id", 5).select("id", F.round("rouge_l", 6).alias("rouge_l"), "side")
 
 
 @query("SELECT event_type, count(*) AS steps, min(value) AS least, max_by(value, event_id) AS last, min_by(value, event_id) AS first, max_by(value, event_id) - min_by(value, event_id) AS delta FROM events GROUP BY event_type")
