@@ -188,10 +188,15 @@ def sentence_split(spark, d):
     return rows.select("doc_id", F.col("s_no").cast("bigint").alias("seq"), F.length("s").cast("bigint").alias("n_chars"), F.md5("s").alias("md5"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_sentences('text')} AS l FROM documents WHERE text IS NOT NULL)),
+def _greedy(body: str) -> str:
+    """CTEs that end in k (doc_id, chunk_no, chunk): sentences of ``body`` gathered up to 800 characters."""
+    return f"""s AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_sentences('text')} AS l FROM (SELECT doc_id, {body} AS text FROM documents WHERE text IS NOT NULL))),
     r AS (SELECT doc_id, i, x, length(x) AS n, 0 AS g FROM s WHERE i = 1
-        UNION ALL SELECT s.doc_id, s.i, s.x, CASE WHEN r.n + length(s.x) > 800 THEN length(s.x) ELSE r.n + length(s.x) END, CASE WHEN r.n + length(s.x) > 800 THEN r.g + 1 ELSE r.g END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
-    SELECT doc_id, CAST(g AS BIGINT) AS chunk_no, md5(string_agg(x, '' ORDER BY i)) AS chunk_md5 FROM r GROUP BY doc_id, g""")
+        UNION ALL SELECT s.doc_id, s.i, s.x, CASE WHEN r.n + length(s.x) > 800 THEN length(s.x) ELSE r.n + length(s.x) END, CASE WHEN r.n + length(s.x) > 800 THEN r.g + 1 ELSE r.g END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+    k AS (SELECT doc_id, CAST(g AS BIGINT) AS chunk_no, string_agg(x, '' ORDER BY i) AS chunk FROM r GROUP BY doc_id, g)"""
+
+
+@query(f"WITH RECURSIVE {_greedy('text')} SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM k")
 def greedy_accumulate(spark, d):
     rows = sequential.greedy_rows(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return rows.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
@@ -208,10 +213,12 @@ def sentence_split_lossy(spark, d):
 
 
 _NORMAL = f"array_to_string(list_filter(list_transform(regexp_split_to_array(text, '{text.LINE_ENDS}'), lambda l: {_strip('l')}), lambda l: l <> ''), chr(10))"
-_LEAD = f"'^(?:[{_q(chunking.QUOTES)}]{text.WS}*)+'"
+_QUOTE_LEAD = f"'^(?:[{_q(chunking.QUOTES)}]{text.WS}*)+'"
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT doc_id, {_NORMAL} AS text FROM documents WHERE text IS NOT NULL),
+def _budget(body: str) -> str:
+    """CTEs that end in k (doc_id, chunk_no, chunk): sentences of ``body`` gathered under a budget of 512 characters."""
+    return f"""t AS (SELECT doc_id, {body} AS text FROM documents WHERE text IS NOT NULL),
     l AS (SELECT doc_id, {_strip('unnest(b)')} AS body, unnest(e) AS ending, generate_subscripts(b, 1) AS j FROM (SELECT doc_id, regexp_extract_all(text, '{_LOSSY}', 1) AS b, regexp_extract_all(text, '{_LOSSY}', 2) AS e FROM t)),
     s AS MATERIALIZED (SELECT doc_id, body || ending AS x, length(body || ending) AS n, right(body || ending, 1) IN ({", ".join("'" + _q(c) + "'" for c in chunking.CLOSING)}) AS closed, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE body <> ''),
     r AS (SELECT doc_id, i, CAST(1 AS BIGINT) AS g, CASE WHEN n > 512 THEN 0 ELSE n END AS held, closed, n > 512 AS done FROM s WHERE i = 1
@@ -221,11 +228,14 @@ _LEAD = f"'^(?:[{_q(chunking.QUOTES)}]{text.WS}*)+'"
     w AS (SELECT r.doc_id, r.g, string_agg(s.x, '' ORDER BY r.i) AS x, max(s.n) > 512 AS sliced FROM r JOIN s USING (doc_id, i) GROUP BY 1, 2),
     p AS (SELECT doc_id, g, unnest(k) AS x, generate_subscripts(k, 1) AS h FROM (SELECT doc_id, g, CASE WHEN sliced THEN regexp_extract_all(x, '(?s).{{1,512}}', 0) ELSE [x] END AS k FROM w)),
     q AS (SELECT doc_id, {_strip('x')} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY g, h) AS o FROM p WHERE {_strip('x')} <> ''),
-    v AS (SELECT doc_id, o, CASE WHEN o > 1 THEN regexp_extract(x, {_LEAD}) ELSE '' END AS lead, x FROM q),
+    v AS (SELECT doc_id, o, CASE WHEN o > 1 THEN regexp_extract(x, {_QUOTE_LEAD}) ELSE '' END AS lead, x FROM q),
     y AS (SELECT doc_id, o, regexp_replace(lead, '{text.WS}', '', 'g') AS lead, substr(x, length(lead) + 1) AS rest FROM v),
     z AS (SELECT *, sum(CASE WHEN rest <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o) AS own FROM y),
-    u AS (SELECT doc_id, own AS c, o, 1 AS later, rest AS x FROM z WHERE rest <> '' UNION ALL SELECT doc_id, own - CASE WHEN rest <> '' THEN 1 ELSE 0 END, o, 2, lead FROM z WHERE lead <> '')
-    SELECT doc_id, CAST(c - 1 AS INT) AS chunk_no, CAST(length(string_agg(x, '' ORDER BY o, later)) AS INT) AS n_chars, md5(string_agg(x, '' ORDER BY o, later)) AS chunk_md5 FROM u GROUP BY doc_id, c""")
+    u AS (SELECT doc_id, own AS c, o, 1 AS later, rest AS x FROM z WHERE rest <> '' UNION ALL SELECT doc_id, own - CASE WHEN rest <> '' THEN 1 ELSE 0 END, o, 2, lead FROM z WHERE lead <> ''),
+    k AS (SELECT doc_id, CAST(c - 1 AS INT) AS chunk_no, string_agg(x, '' ORDER BY o, later) AS chunk FROM u GROUP BY doc_id, c)"""
+
+
+@query(f"WITH RECURSIVE {_budget(_NORMAL)} SELECT doc_id, chunk_no, CAST(length(chunk) AS INT) AS n_chars, md5(chunk) AS chunk_md5 FROM k")
 def token_chunk(spark, d):
     rows = spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_lines(F.col("text")).alias("text"))
     rows = sequential.budget_rows(rows, "doc_id", "text")
@@ -390,6 +400,22 @@ def decode_fallback(spark, d):
     return rows.select("path", "d.encoding", F.length("d.text").alias("n_chars"), F.md5("d.text").alias("md5"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'utf-16' WHEN doc_id % 3 = 1 AND regexp_matches(text, '[^\\x00-\\x7f]') THEN 'gb18030' ELSE 'utf-8' END AS encoding, length(text) AS n_chars, md5(text) AS md5
+    FROM documents WHERE length(text) > 0""")
+def decode_codecs(spark, d):
+    """The documents written in three encodings and decoded without being told which."""
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def national(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t.encode("gb18030"))
+
+    rows = _documents(spark, d).where("length(text) > 0")
+    content = F.when(F.col("doc_id") % 3 == 2, F.encode("text", "UTF-16")).when(F.col("doc_id") % 3 == 1, national("text")).otherwise(F.encode("text", "UTF-8"))
+    rows = rows.select("doc_id", files.decoded(content).alias("d"))
+    return rows.select("doc_id", "d.encoding", F.length("d.text").cast("bigint").alias("n_chars"), F.md5("d.text").alias("md5"))
+
+
 # -- across records -------------------------------------------------------------------------------------------------
 
 
@@ -956,6 +982,43 @@ def stream_windows(spark, d):
     return jobs.read_memory(jobs.windowed_counts(stream, "ts", "event_type"), f"windows_{uuid.uuid4().hex}")
 
 
+def _documents_as_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select(F.format_string("shelf/b%07d_w%d.txt", "doc_id", F.col("doc_id") % 7).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return spread(rows)
+
+
+_FILE = "'b' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '_w' || (doc_id % 7)"
+_MERGED = f"regexp_replace({_JOINED}, chr(10) || '$', '')"
+_CURLED = _TURNED.format(x=_TURNED.format(x=_MORE, m=chr(34), a="“", b="”"), m=chr(39) * 2, a="‘", b="’")
+
+
+@query(f"WITH RECURSIVE {_greedy(_MERGED)} SELECT {_FILE} || '.txt_' || chunk_no AS id, 'b' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS author, md5(chunk) AS md5 FROM k WHERE chunk <> ''")
+def files_corpus_chunks(spark, d):
+    return pipelines.corpus_chunks(_documents_as_files(spark, d)).select("id", "author", F.md5("text").alias("md5"))
+
+
+@query(f"WITH RECURSIVE {_budget(_NORMAL.replace('(text,', f'({_CURLED},', 1))} SELECT 'raw_' || {_FILE} || '_' || lpad(CAST(chunk_no AS VARCHAR), 5, '0') AS id, md5({_strip('chunk')}) AS md5 FROM k WHERE length({_strip('chunk')}) >= 10")
+def files_budget_corpus(spark, d):
+    return pipelines.budget_corpus(_documents_as_files(spark, d), "raw").select("id", F.md5("text").alias("md5"))
+
+
+@query(f"""SELECT 'b' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '_' || i AS _id, 'b' || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS source, 'w' || (doc_id % 7) AS author, CAST(length(c) AS INT) AS length, md5(c) AS md5
+    FROM (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_target('text', 800, chunking.TARGET_ENDS)} AS l FROM documents WHERE length({_strip('text')}) > 0))""")
+def files_book_chunks(spark, d):
+    return pipelines.book_chunks(_documents_as_files(spark, d)).select("_id", "source", "author", "length", F.md5("text").alias("md5"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_target(f"array_to_string(list_transform({_KEPT}, lambda l: {_OPENED}), '')", 800, chunking.TARGET_ENDS_ZH)} AS l FROM documents WHERE text IS NOT NULL)
+    SELECT 'scan_' || {_FILE} || '_' || i AS _id, CAST(length(x) AS INT) AS length, md5(x) AS md5 FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l)""")
+def files_scanned_chunks(spark, d):
+    return pipelines.scanned_book_chunks(_documents_as_files(spark, d), "scan").select("_id", "length", F.md5("text").alias("md5"))
+
+
+@query("SELECT 'shelf/b' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '_w' || (doc_id % 7) || '.txt' AS path, 'utf-8' AS encoding, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
+def files_transcoded(spark, d):
+    return pipelines.transcoded(_documents_as_files(spark, d)).select("path", "encoding", F.md5("content").alias("md5"))
+
+
 @query()
 def raw_corpus_chunks(spark, d):
     return pipelines.corpus_chunks(spread(read_table(spark, d, "raw_files"))).select("id", "author", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
