@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -404,8 +405,6 @@ def decode_fallback(spark, d):
     FROM documents WHERE length(text) > 0""")
 def decode_codecs(spark, d):
     """The documents written in three encodings and decoded without being told which."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def national(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t.encode("gb18030"))
