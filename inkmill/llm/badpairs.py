@@ -40,6 +40,7 @@ WORDING = 24
 DECLINE_ZH = re.compile(
     r"(?:无法|不能|不便|不会|不可以|没有?办法|不允许我?|(?:暂)?不支持|恕难|拒绝|不适合|无权)[^。！？\n，；]{0,4}(?:给予|继续|完成|协助|处理|回答|提供|生成|满足|改动|改写|润色|对|为|就|把|将|进行|执行|翻译|续写|帮)"
     r"[^。！？\n]{0,18}(?:改写|内容|请求|片段|问题|要求|版本|润色|任务|指令|文字|文本|翻译|创作|话题|服务|操作|协助|回答)"
+    r"|(?:内容|请求|片段|问题|文字|文本|段落|话题|任务)(?:我|本助手|系统|目前|实在|恕|[，,]){0,3}(?:无法|不能|不便|不可以|没法)[^。！？\n，；]{0,4}(?:改写|改动|处理|完成|协助|回答|提供|生成|润色|翻译|续写|继续)"
     r"|作为(?:一[个名位款])?(?:大?语言模型|人工智能|AI|智能助手|聊天机器人|助手)[^。！？\n]{0,12}(?:不|无法|没)"
 )
 DECLINE_OTHER = re.compile(
@@ -53,7 +54,8 @@ DECLINE_OTHER = re.compile(
 REFUSAL_SENTENCES = 3
 #: Pairs of quotation marks, and whose words or doings a sentence tells.
 QUOTED = re.compile("“[^“”]*”|‘[^‘’]*’|「[^「」]*」|『[^『』]*』|\"[^\"\n]*\"")
-TOLD = re.compile("[他她]们?|那(?:人|老|少|汉|道|女|妇|书|掌|店|船|捕|和|僧)|[说道问答喝叹笑曰]\\s*[：:]|道[：:，,]?$")
+SPEECH = re.compile("(?:[他她]们?|那[^，。的]{1,4})[^，。！？：:]{0,6}[说道问答喝叹笑曰称]")
+SELF, THIRD = re.compile("我|本人|本助手|系统|模型|AI"), re.compile("[他她]|那(?:人|老|少|汉|道|女|妇|书|掌|店|船|捕|和|僧)|[说道问答喝叹笑曰][：:，,]?$")
 #: A request to give the text back as it is, and one to say it in short.
 ECHO = re.compile("原封不动|照原样|照抄|抄录|一个?字也?(?:别|不要|不)(?:动|改)|只需复述|勿作改动|原样(?:复述|返回|输出)|原文复述|一字不[改差动]")
 SUMMARY = re.compile("概[述括要]|提要|大意|总结|归纳|摘要|梗概|主旨|要点|简述|(?:写|讲|说)了(?:什么|些什么|啥)|[一两]{1,2}句话|最短的话|讲清情节|缩写|简短地?(?:说|讲)|summar", re.IGNORECASE)
@@ -109,8 +111,12 @@ def is_refusal(text: str) -> bool:
         if DECLINE_OTHER.search(part):
             return True
         m = DECLINE_ZH.search(part)
-        if m and not TOLD.search(part[: m.start()]):
-            return True
+        if m:
+            # Who declines stands in front of the negation.
+            before = part[: m.start() + re.search("无法|不|没|恕|拒|无权|$", m.group()).start()]
+            near = before[-8:]
+            if not SPEECH.search(before) and (SELF.search(near) or not THIRD.search(near)):
+                return True
     return False
 
 

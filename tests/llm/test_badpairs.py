@@ -35,9 +35,9 @@ def test_language():
 
 
 def test_who_declines():
-    for t in ["他摇头，道：‘我不能帮你改写这段文字。’说罢转身而去。", "“恕难从命，我无法完成你的请求。”那老者拱手而别。", "他说他不能继续处理这些内容，便走了。", A + "那人道：“我不便回答这个问题。”众人散去。", "“不能改写这段文字，”她低声说，“也不能翻译这些内容。”"]:
+    for t in ["他摇头，道：‘我不能帮你改写这段文字。’说罢转身而去。", "“恕难从命，我无法完成你的请求。”那老者拱手而别。", "他说他不能继续处理这些内容，便走了。", "他说我不能改写这段文字。", A + "那人道：“我不便回答这个问题。”众人散去。", "“不能改写这段文字，”她低声说，“也不能翻译这些内容。”"]:
         assert not badpairs.is_refusal(t), t
-    for t in ["“抱歉，我无法改写这段文字。”", "抱歉，我不能帮你改写这段文字。", A + "抱歉，后面的内容我无法继续改写。", "作为一个人工智能，我没法处理。", "I cannot help with this request.", "申し訳ありませんが、お手伝いできません。"]:
+    for t in ["很抱歉，他写的这段文字我无法改写。", "对于她的这个请求，系统不能继续处理这类内容。", "“抱歉，我无法改写这段文字。”", "抱歉，我不能帮你改写这段文字。", A + "抱歉，后面的内容我无法继续改写。", "作为一个人工智能，我没法处理。", "I cannot help with this request.", "申し訳ありませんが、お手伝いできません。"]:
         assert badpairs.is_refusal(t), t
 
 
