@@ -1084,8 +1084,20 @@ def repaired_chunks(spark, d):
     return pipelines.repaired_chunks(rows).select("id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+def _combined(spark, d) -> DataFrame:
+    rows = _books(_chunk_rows(spark, d)).drop("seq")
+    return pipelines.combined(spark, {"merged": rows.where("author = 'Yanbeike'"), "single": rows}, {"merged": 2}, {"single": ["Weizhou", "Gufan"]})
+
+
+@query(f"""WITH {_CHUNKS}, m AS (SELECT id, {_BOOK} AS book, text, (row_number() OVER (PARTITION BY {_BOOK} ORDER BY seq NULLS FIRST, id) - 1) // 2 AS part, row_number() OVER (PARTITION BY {_BOOK} ORDER BY seq NULLS FIRST, id) AS n FROM c WHERE author = 'Yanbeike'),
+    u AS (SELECT 'merged_' || book || '_pair_' || lpad(CAST(part AS VARCHAR), 5, '0') AS id, 'merged' AS dataset, count(*) AS merged_count, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY n) FILTER (text <> ''), '') AS text, string_agg(id, '|' ORDER BY n) AS ids FROM m GROUP BY book, part
+        UNION ALL SELECT id, 'single', 0, text, '' FROM c WHERE author IN ('Weizhou', 'Gufan'))
+    SELECT id, dataset, CAST(merged_count AS INT) AS merged_count, ids, CAST(length(ltrim(replace(text, '{records.STRAY}', ''), '{_q(records.LEADING)}')) AS INT) AS n_chars FROM u""")
+def combined_fields(spark, d):
+    """The combined corpus without its wording: script changes no length."""
+    return _combined(spark, d).select("id", "dataset", "merged_count", F.array_join("merged_from", "|").alias("ids"), F.length("text").alias("n_chars"))
+
+
 @query()
 def combined_corpus(spark, d):
-    rows = _books(_chunk_rows(spark, d)).drop("seq")
-    made = pipelines.combined(spark, {"merged": rows.where("author = 'Yanbeike'"), "single": rows}, {"merged": 2}, {"single": ["Weizhou", "Gufan"]})
-    return made.select("id", "dataset", "merged_count", F.md5("text").alias("md5"))
+    return _combined(spark, d).select("id", "dataset", "merged_count", F.md5("text").alias("md5"))
