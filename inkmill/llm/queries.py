@@ -91,6 +91,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(documents, leaks.leaks(documents, read_table(spark, d, "eval_items"))).select("doc_id", "source", "lang")
 
 
+def p9_places(spark: SparkSession, d: str) -> DataFrame:
+    """The longest verbatim match of each leak and its place in the document."""
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return grades.reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "level_labels")).distinct()
 
@@ -103,7 +108,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_templates, p3_cleaned, p4_mix, p4_shares, p4_authors, p5_found, p5_labels, p5_shares,
-    p6_found, p7_found, p7_restored, p8_ids, p9_found, p9_clean, p10_found, p10_profile,
+    p6_found, p7_found, p7_restored, p8_ids, p9_found, p9_clean, p9_places, p10_found, p10_profile,
 ]
 
 
