@@ -63,7 +63,7 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "id", text: str = "te
     rows = rows.withColumn("_row", F.concat(F.md5(text), F.to_json(F.struct(F.lit(0), *others)))).withColumn("n_chars", F.length(text).cast("bigint"))
     # One delivery per key, chosen without its text, which is shuffled once and only in the last join; written, since three sums read it.
     one = rows.groupBy(key).agg(F.min(F.struct(dataset, "n_chars", "_row")).alias("_one"))
-    slim = written(one.select(key, f"_one.{dataset}", "_one.n_chars", F.md5("_one._row").alias("_row"), length_step(F.col("_one.n_chars")).alias("_step"), order.alias("_order"), F.left(order, F.lit(PART_DIGITS)).alias("_part")))
+    slim = written(one.select(key, f"_one.{dataset}", "_one.n_chars", F.md5(F.concat_ws("|", f"_one.{dataset}", "_one._row")).alias("_row"), length_step(F.col("_one.n_chars")).alias("_step"), order.alias("_order"), F.left(order, F.lit(PART_DIGITS)).alias("_part")))
     sizes = slim.groupBy(F.col(dataset).alias("dataset")).agg(F.sum("n_chars").alias("available"))
     plan = mix_plan(sizes, targets, total)
     parts = slim.groupBy(dataset, "_step", "_part").agg(F.count("*").alias("_n"))
@@ -75,10 +75,10 @@ def mix(records: DataFrame, targets: DataFrame, key: str = "id", text: str = "te
     at = F.col("_before") + F.col("_rank")
     upto = lambda n: F.floor(n * F.col("copies") + offset)
     count = F.least(upto(at) - upto(at - 1), F.col("max_repeats").cast("bigint"))
-    placed = placed.select(key, F.col(dataset).alias("_dataset"), "_row", count.cast("int").alias("_count")).where("_count > 0")
-    # What is dropped are repeats equal in every column; the rows are clustered by key already.
-    out = rows.withColumn("_row", F.md5("_row")).join(placed, [key, "_row"]).where(F.col(dataset) == F.col("_dataset")).dropDuplicates([key])
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count", "_row", "_dataset")
+    placed = placed.select(key, "_row", count.cast("int").alias("_count")).where("_count > 0")
+    # What is dropped are repeats equal in every column; the join has clustered the rows by these two already.
+    out = rows.withColumn("_row", F.md5(F.concat_ws("|", dataset, "_row"))).join(placed, [key, "_row"]).dropDuplicates([key, "_row"])
+    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count", "_row")
 
 
 def mixed_shares(mixture: DataFrame, targets: DataFrame, dataset: str = "dataset") -> DataFrame:
