@@ -965,11 +965,11 @@ def stream_resume(spark, d):
 @query(_shifted(_BOOK, "text").replace("SELECT t.id, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t", "SELECT t.source_file, t.seq, md5(t.rest || coalesce(g.given, '')) AS md5 FROM t") + " AND t.seq < (SELECT max(u.seq) FROM t u WHERE u.keep AND u.source_file = t.source_file)")
 def stream_quotes(spark, d):
     """The streaming form of the quote repair; the newest kept record of each book waits in the state."""
-    folder = _folder(spark)
+    folder, out = _folder(spark), _folder(spark)
     _books(_chunk_rows(spark, d)).where("seq is not null").select("source_file", "seq", "text").write.parquet(folder)
     stream = spark.readStream.schema("source_file string, seq bigint, text string").parquet(folder)
-    got = jobs.read_memory(jobs.shift_quotes_stream(stream, "source_file", "seq", "text"), f"quotes_{uuid.uuid4().hex}", "append")
-    return got.select("source_file", "seq", F.md5("text").alias("md5"))
+    got = jobs.shift_quotes_stream(stream, "source_file", "seq", "text")
+    return jobs.read_written(got.select("source_file", "seq", F.md5("text").alias("md5")), out)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

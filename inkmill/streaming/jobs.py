@@ -43,11 +43,26 @@ def read_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFra
     return stream.sparkSession.table(name)
 
 
+def read_written(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives for the files that are there, appended to Parquet files in ``folder`` and read from there.
+
+    The tasks write the rows, the driver holds none of them; each row is there once, also where a batch was run again.
+    """
+    mark = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", folder).outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+#: Rows of a group that leave its worker at once.
+SLICE = 10_000
+
+
 def shift_quotes_stream(stream: DataFrame, group: str, seq: str, text: str, least: int = 5) -> DataFrame:
     """(group, seq, text): the record-by-record form of the quote repair, with the last kept record of a group as state.
 
     A record comes out when the next one that is kept arrives; the newest of each group waits in the state. Records of one
-    group must arrive in order; within a micro-batch they are sorted.
+    group must arrive in order; within a micro-batch they are sorted, so a group's part of a micro-batch must fit one worker
+    (the source's ``maxFilesPerTrigger`` bounds it).
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -73,6 +88,9 @@ def shift_quotes_stream(stream: DataFrame, group: str, seq: str, text: str, leas
             if held is not None:
                 out.append((key[0], held[0], held[1]))
             held = (int(at), rest)
+            if len(out) == SLICE:
+                yield pd.DataFrame(out, columns=[group, seq, text])
+                out = []
         if held is not None:
             state.update(held)
         yield pd.DataFrame(out, columns=[group, seq, text])

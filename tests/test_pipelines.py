@@ -193,3 +193,15 @@ def test_streamed_quote_repair(spark, tmp_path):
     want = {(r.g, r.seq): r.t for r in records.shift_quotes(df, "g", "seq", "t").collect()}
     newest = {g: max(s for h, s in want if h == g) for g in ("f", "g")}
     assert got == {k: v for k, v in want.items() if k[1] < newest[k[0]]}
+
+
+def test_streamed_rows_stay_off_the_driver(spark, tmp_path):
+    """The repair's rows come from files that tasks wrote, also those of a group that leaves its worker in slices."""
+    from inkmill.plans import catalog
+
+    assert catalog.queries()["stream_quotes"](spark, "/root/testdata/sf0.001").inputFiles()
+    n = jobs.SLICE + 5
+    spark.range(n).selectExpr("'a' as g", "id as seq", "concat(id % 2 = 1, '，一二三四五') as t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("g string, seq bigint, t string").parquet(str(tmp_path / "in"))
+    got = jobs.read_written(jobs.shift_quotes_stream(stream, "g", "seq", "t"), str(tmp_path / "out"))
+    assert sorted(r.seq for r in got.collect()) == list(range(n - 1))
