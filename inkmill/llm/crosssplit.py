@@ -5,7 +5,8 @@ The join is a prefix filter over short shingles ("blocks"): each evaluation clas
 as many disjoint blocks as edits are allowed and a few more (``EXTRA``), the rarest that fit. Edits spoil at most one
 block each, so a training text within the distance still holds ``EXTRA`` + 1 of them; every training stretch of a
 block's length probes the index under length and position filters, and pairs with enough hits are verified on both texts
-with a bit-parallel edit distance, then expanded to records. No pair within the distance is lost.
+with a bit-parallel edit distance, then expanded to records. Passages with a line that may be a request's wording are
+indexed and probed without it, too. No pair within the distance is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ EXTRA = 2
 STRETCH = 400
 #: Stretches whose blocks are chosen at once.
 ROWS = 64
-#: Training classes whose blocks are counted to tell rare from frequent ones, and the size of the table; the choice costs time only, any is exact.
-COUNTED, TABLE = 4000, 20
-#: A block that this share of the counted classes holds is spread over so many keys.
+#: Bits of the table of counts that tells rare blocks from frequent ones; the choice of blocks costs time only, any is exact.
+TABLE = 20
+#: A block that stands as often as this share of the training records is spread over so many keys.
 HOT, SALTS = 0.02, 16
 #: Bits of the bitmap (8 MB, whatever the data) that spares training stretches outside every block the shuffle.
 BITS = 26
@@ -198,15 +199,16 @@ def presence(index: DataFrame) -> np.ndarray:
     return out
 
 
-INDEX = "h bigint, class bigint, side byte, size int, at int, other int, least int"
-PROBE = "h bigint, class bigint, size int, at int, other int"
+INDEX = "h bigint, class bigint, side byte, form byte, size int, at int, other int, least int"
+PROBE = "h bigint, class bigint, form byte, size int, at int, other int"
 
 
 def index_rows(classes: DataFrame, counts: tuple[np.ndarray, int]) -> DataFrame:
-    """(h, class, side, size, at, other, least): the blocks of each evaluation class (class, passage, answer).
+    """(h, class, side, form, size, at, other, least): the blocks of each evaluation class (class, passage, answer, head, tail).
 
-    They are those of its passage or of its answer, whichever is rarer, in each bucket of length that may hold a partner;
-    ``size`` and ``other`` are the letters of the side taken and of the other, ``least`` the hits that a partner has.
+    They are those of its passage, in each of its ``readings`` (``form``), or of its answer, whichever are rarer, in each
+    bucket of length that may hold a partner; ``size`` and ``other`` are the letters of the side taken and of the other,
+    ``least`` the hits that a partner has.
     """
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
@@ -214,39 +216,48 @@ def index_rows(classes: DataFrame, counts: tuple[np.ndarray, int]) -> DataFrame:
         counts, counted = shared.value
         for batch in batches:
             out = []
-            keys, *sides = (c.to_pylist() for c in batch.columns)
-            made = [dict(zip(some, blocks([texts[i] for i in some], counts))) for texts in sides for some in [[i for i, t in enumerate(texts) if t]]]
-            for i, (key, *texts) in enumerate(zip(keys, *sides)):
-                side = min((x for x in (1, 0) if i in made[x]), key=lambda x: made[x][i][3])
-                h, at, least, _ = made[side][i]
-                n, hot = len(texts[side]), counts[h >> np.uint64(64 - TABLE)] > HOT * counted
-                hs = []
-                for bucket in range(int(bucket_of(int(n * (1 - DISTANCE)))), int(bucket_of(int(n / (1 - DISTANCE)) + 1)) + 1):
-                    x = bucketed(h, bucket, side)
-                    hs += [(x[~hot], at[~hot])] + [(salted(x[hot], salt), at[hot]) for salt in range(SALTS if hot.any() else 0)]
-                h, at = (np.concatenate(x) for x in zip(*hs))
-                out.append((h.view(np.int64), at, len(h), key, side, n, len(texts[1 - side]), least))
+            keys, passages, answers, heads, tails = (c.to_pylist() for c in batch.columns)
+            sides = [[readings(*x) for x in zip(passages, heads, tails)], [[a] if a else [] for a in answers]]
+            made = []
+            for forms in sides:
+                got = iter(blocks([t for texts in forms for t in texts], counts))
+                made.append([[next(got) for _ in texts] for texts in forms])
+            for i, key in enumerate(keys):
+                side = min((x for x in (1, 0) if made[x][i]), key=lambda x: sum(m[3] for m in made[x][i]))
+                other = len((answers, passages)[side][i] or "")
+                for form, (text, (h, at, least, _)) in enumerate(zip(sides[side][i], made[side][i])):
+                    n, hot = len(text), counts[h >> np.uint64(64 - TABLE)] > HOT * counted
+                    hs = []
+                    for bucket in range(int(bucket_of(int(n * (1 - DISTANCE)))), int(bucket_of(int(n / (1 - DISTANCE)) + 1)) + 1):
+                        x = bucketed(h, bucket, side)
+                        hs += [(x[~hot], at[~hot])] + [(salted(x[hot], salt), at[hot]) for salt in range(SALTS if hot.any() else 0)]
+                    h, at = (np.concatenate(x) for x in zip(*hs))
+                    out.append((h.view(np.int64), at, len(h), key, side, form, n, other, least))
             if out:
                 h, at, many, *rest = zip(*out)
-                rep = [np.repeat(np.array(x, t), many) for x, t in zip(rest, (np.int64, np.int8, np.int32, np.int32, np.int32))]
-                key, side, size, other, least = rep
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(h), key, side, size, np.concatenate(at).astype(np.int32), other, least)], names=["h", "class", "side", "size", "at", "other", "least"])
+                rep = [np.repeat(np.array(x, t), many) for x, t in zip(rest, (np.int64, np.int8, np.int8, np.int32, np.int32, np.int32))]
+                key, side, form, size, other, least = rep
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(h), key, side, form, size, np.concatenate(at).astype(np.int32), other, least)], names=["h", "class", "side", "form", "size", "at", "other", "least"])
 
-    return classes.select("class", "passage", "answer").mapInArrow(run, INDEX)
+    return classes.select("class", "passage", "answer", "head", "tail").mapInArrow(run, INDEX)
 
 
 def probe_rows(classes: DataFrame, counts: tuple[np.ndarray, int], known: np.ndarray) -> DataFrame:
-    """(h, class, size, at, other): every stretch of the passages and answers of ``classes`` that the bitmap ``known`` has."""
+    """(h, class, form, size, at, other): every stretch of the passages, in each of their ``readings``, and answers of ``classes`` that the bitmap ``known`` has."""
     shared = classes.sparkSession.sparkContext.broadcast((*counts, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, counted, known = shared.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            sides = [[t or "" for t in batch.column(k).to_pylist()] for k in (1, 2)]
-            lengths = [np.array([len(t) for t in texts], np.int64) for texts in sides]
-            for side, texts in enumerate(sides):
-                size = lengths[side]
+            passages, answers, heads, tails = (c.to_pylist() for c in batch.columns[1:])
+            sides = [[readings(*x) for x in zip(passages, heads, tails)], [[a or ""] for a in answers]]
+            lengths = [np.array([len(t or "") for t in texts], np.int64) for texts in (passages, answers)]
+            for side, forms in enumerate(sides):
+                row = np.repeat(np.arange(len(forms)), [len(x) for x in forms])
+                form = np.array([f for x in forms for f in range(len(x))], np.int8)
+                texts = [t for x in forms for t in x]
+                size = np.array([len(t) for t in texts], np.int64)
                 whole = "".join(texts)
                 found = []
                 if len(whole) >= BLOCK:
@@ -263,25 +274,43 @@ def probe_rows(classes: DataFrame, counts: tuple[np.ndarray, int], known: np.nda
                 h, owner, at = (np.concatenate(x) for x in zip(*found))
                 hot = counts[h >> np.uint64(64 - TABLE)] > HOT * counted
                 h = bucketed(h, bucket_of(size)[owner], side)
-                h[hot] = salted(h[hot], keys[owner[hot]] % SALTS)
+                h[hot] = salted(h[hot], keys[row[owner[hot]]] % SALTS)
                 kept = (known[(h & np.uint64((1 << BITS) - 1)) >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) > 0
                 h, owner, at = h[kept], owner[kept], at[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), keys[owner], size[owner].astype(np.int32), at.astype(np.int32), lengths[1 - side][owner].astype(np.int32))], names=["h", "class", "size", "at", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), keys[row[owner]], form[owner], size[owner].astype(np.int32), at.astype(np.int32), lengths[1 - side][row[owner]].astype(np.int32))], names=["h", "class", "form", "size", "at", "other"])
 
-    return classes.select("class", "passage", "answer").mapInArrow(run, PROBE)
+    return classes.select("class", "passage", "answer", "head", "tail").mapInArrow(run, PROBE)
 
 
-def block_counts(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """How often blocks stand in ``COUNTED`` of the classes, by the first ``TABLE`` bits of their hash, and of how many classes."""
-    out = np.zeros(1 << TABLE, dtype=np.int32)
-    chosen = classes.select("class").distinct().orderBy("class").limit(COUNTED)
-    rows = classes.select("class", "passage", "answer").join(F.broadcast(chosen), "class").dropDuplicates(["class"]).toArrow()
-    for column in (1, 2):
-        for t in rows.column(column).to_pylist():
-            if t:
-                at = block_hashes(t, SHORT_BLOCK if len(t) in (6, 7) else BLOCK) >> np.uint64(64 - TABLE)
-                out[np.unique(at)] += 1
-    return out, rows.num_rows
+def block_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How often blocks stand in all passages and answers of ``texts``, by the first ``TABLE`` bits of their hash, and of how many rows.
+
+    Each task counts its part into a table of fixed size; the tables are added up slot by slot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = np.zeros(1 << TABLE, dtype=np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for column in batch.columns:
+                some = [t for t in column.to_pylist() if t]
+                size = np.array([len(t) for t in some], np.int64)
+                whole = "".join(t for t in some if len(t) >= BLOCK)
+                found = [block_hashes(t, SHORT_BLOCK if len(t) in (6, 7) else BLOCK) for t in some if len(t) < BLOCK or len(t) in (6, 7)]
+                if whole:
+                    size = size[size >= BLOCK]
+                    left = np.repeat(np.cumsum(size), size) - np.arange(len(whole))
+                    found.append(block_hashes(whole)[((left >= BLOCK) & ~np.isin(np.repeat(size, size), (6, 7)))[: len(whole) - BLOCK + 1]])
+                if found:
+                    out += np.bincount((np.concatenate(found) >> np.uint64(64 - TABLE)).astype(np.int64), minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(out[at], rows))], names=["slot", "n"])
+
+    got = texts.select("passage", "answer").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(1 << TABLE, dtype=np.int64)
+    out[slot[slot >= 0]] = n[slot >= 0]
+    return out, int(n[slot < 0].sum())
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -352,14 +381,14 @@ def cross_split_pairs(samples: DataFrame, train: str = "train") -> DataFrame:
     held, probes = (texts.where(side).dropDuplicates(["class", "sign"]) for side in ("not train", "train"))
     counts = block_counts(texts.where("train"))
     index = written(index_rows(held, counts))
-    e = index.select("h", F.col("class").alias("e"), "side", F.col("size").alias("e_size"), F.col("at").alias("e_at"), F.col("other").alias("e_other"), "least")
+    e = index.select("h", F.col("class").alias("e"), "side", F.col("form").alias("e_form"), F.col("size").alias("e_size"), F.col("at").alias("e_at"), F.col("other").alias("e_other"), "least")
     found = probe_rows(probes, counts, presence(index)).join(e, "h")
     most, most_other = F.floor(F.greatest("size", "e_size") * DISTANCE), F.floor(F.greatest("other", "e_other") * DISTANCE)
     # What stands before and behind the block differs by its difference in length at least; a wording left in a passage may be a difference, too.
     apart = F.abs(F.col("at") - F.col("e_at")) + F.abs(F.col("size") - F.col("at") - F.col("e_size") + F.col("e_at"))
     found = found.where((apart <= most) & (F.abs(F.col("other") - F.col("e_other")) <= most_other + F.when(F.col("side") == 1, REQUEST_LETTERS).otherwise(0)))
-    found = found.groupBy(F.col("class").alias("t"), "e").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
-    found = written(found.select("t", "e"))
+    found = found.groupBy(F.col("class").alias("t"), "form", "e", "e_form").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
+    found = written(found.select("t", "e").distinct())
     side = lambda which, c, p: texts.where(which).join(small_side(found.select(F.col(c).alias("class")).distinct()), "class", "left_semi").dropDuplicates(["class", "sign"]).select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{p}") for x in ("sign", "passage", "answer", "head", "tail")])
     near = found.join(side("train", "t", 1), "t").join(side("not train", "e", 2), "e")
     near = near.where(F.pandas_udf(almost_same, "boolean")(*[F.col(f"{x}_{p}") for p in (1, 2) for x in ("passage", "answer", "head", "tail")])).select("t", "sign_1", "e", "sign_2")

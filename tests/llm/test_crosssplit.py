@@ -157,3 +157,25 @@ def test_blocks_are_disjoint_and_enough():
         size = crosssplit.SHORT_BLOCK if n in (6, 7) else crosssplit.BLOCK
         assert len(at) == crosssplit.most_edits(n) + least and 1 <= least <= crosssplit.EXTRA + 1
         assert (np.diff(at) >= size).all() and (n < size or at[-1] + size <= n)
+
+
+def test_blocks_are_counted_in_all_texts(spark):
+    """More texts than any bounded part of them: every one counts, of whatever length."""
+    rows = [(prose(RANDOM.choice([1, 3, 4, 5, 6, 7, 8, 20])), RANDOM.choice([None, "", prose(9)])) for _ in range(5000)]
+    counts, n = crosssplit.block_counts(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "class bigint, passage string, answer string"))
+    np = crosssplit.np
+    want = np.zeros(1 << crosssplit.TABLE, dtype=np.int64)
+    for t in (t for r in rows for t in r if t):
+        np.add.at(want, crosssplit.block_hashes(t, crosssplit.SHORT_BLOCK if len(t) in (6, 7) else crosssplit.BLOCK) >> np.uint64(64 - crosssplit.TABLE), 1)
+    assert n == 5000 and (counts == want).all()
+
+
+def test_wordings_whichever_side_is_rarer(spark):
+    """A line left out on trial is left out of the index, too: answers of frequent blocks do not lose the pair."""
+    p, a = prose(90), prose(60)
+    odd = "劳驾把这一段话写得更像旧时的小说一些可好并且莫要太长"
+    rows = [sample("t", p, a, "train", "请润色：\n"), sample("v", p, a, "valid", odd + "\n"), ("w", [("user", p + "\n\n" + odd[::-1]), ("gpt", a)], "valid", None)]
+    rows += [sample(f"x{i}", prose(80), a, "train", "请润色：\n") for i in range(9)]
+    q, b = prose(90), prose(60)
+    rows += [sample("tq", q, b, "train", odd[3:] + "\n"), sample("vq", q, b, "valid", "请润色：\n")] + [sample(f"y{i}", prose(80), b, "train", "请润色：\n") for i in range(9)]
+    assert {tuple(r) for r in crosssplit.cross_split_pairs(frame(spark, rows)).collect()} == {("t", "v"), ("t", "w"), ("tq", "vq")}
